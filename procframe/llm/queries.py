@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pieces, sharding, simhash, toxicity
+from . import embeddings, exact_dedup, packing, pieces, revisits, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,11 +42,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(_documents(spark, sf_dir))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.resolve(revisits.captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_toxicity, op4_packing, op6_simhash, op10_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_toxicity, op4_packing, op6_simhash, op8_embeddings, op9_revisits, op10_sentencepiece)}
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
