@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, exact_dedup, packing, pieces, revisits, sharding, simhash, toxicity
+from . import embeddings, exact_dedup, line_dedup, packing, pieces, revisits, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_documents(spark, sf_dir)).selectExpr("doc_id", "n_lines", "n_removed", "crc32(encode(text, 'UTF-8')) AS text_crc32")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(_documents(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_toxicity, op4_packing, op6_simhash, op8_embeddings, op9_revisits, op10_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_toxicity, op4_packing, op5_line_dedup, op6_simhash, op8_embeddings, op9_revisits, op10_sentencepiece)}
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
