@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, exact_dedup, line_dedup, packing, pieces, revisits, sharding, simhash, toxicity
+from . import embeddings, exact_dedup, licenses, line_dedup, packing, pieces, revisits, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(_documents(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -58,7 +62,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_toxicity, op4_packing, op5_line_dedup, op6_simhash, op8_embeddings, op9_revisits, op10_sentencepiece)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_toxicity, op4_packing, op5_line_dedup, op6_simhash, op7_licenses, op8_embeddings, op9_revisits, op10_sentencepiece)}
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
