@@ -68,9 +68,25 @@ GENERATORS: dict[str, str] = {
     "polynomial_generate": "SELECT i, round((2e0 * (i / 199e0) - 1) * (i / 199e0) + 0.5e0, 6) AS value FROM ({r200})",
     "image_checkerboard": "SELECT a.i AS y, b.i AS x, CASE WHEN (floor(a.i / 8e0) + floor(b.i / 8e0)) % 2 = 0 THEN 0 ELSE 255 END AS v FROM ({r64}) a CROSS JOIN ({r64}) b",
     "image_linear_gradient": "SELECT a.i AS y, b.i AS x, CAST(floor(255 * (b.i / 99e0)) AS BIGINT) AS v FROM ({r50}) a CROSS JOIN ({r100}) b",
+    "image_radial_gradient": "SELECT a.i AS y, b.i AS x, CAST(floor(round(255 * least(1e0, sqrt((b.i - 50e0) * (b.i - 50e0) + (a.i - 50e0) * (a.i - 50e0)) / sqrt(5000e0)), 6)) AS BIGINT) AS v FROM ({r100}) a CROSS JOIN ({r100}) b",
+    "image_solid": "SELECT a.i AS y, b.i AS x, c.i AS ch, CASE c.i WHEN 0 THEN 255 WHEN 1 THEN 128 ELSE 0 END AS v FROM ({r64}) a CROSS JOIN ({r64}) b CROSS JOIN ({r3}) c",
+    "asof_keyframe": "SELECT a.i AS frame, coalesce(max(b.i), 0) AS keyframe FROM ({r100}) a LEFT JOIN ({r5}) b ON b.i * 2.3e0 + 0.5e0 <= a.i / 10e0 GROUP BY a.i",
+    "normal_map": """
+        SELECT y, x, round(nx / sqrt(nx * nx + ny * ny + 1) * 0.5e0 + 0.5e0, 6) AS r, round(ny / sqrt(nx * nx + ny * ny + 1) * 0.5e0 + 0.5e0, 6) AS g, round(1 / sqrt(nx * nx + ny * ny + 1) * 0.5e0 + 0.5e0, 6) AS b FROM (
+            SELECT y, x, coalesce(lag(h) OVER (PARTITION BY y ORDER BY x), h) - coalesce(lead(h) OVER (PARTITION BY y ORDER BY x), h) AS nx,
+                   coalesce(lag(h) OVER (PARTITION BY x ORDER BY y), h) - coalesce(lead(h) OVER (PARTITION BY x ORDER BY y), h) AS ny
+            FROM (SELECT a.i AS y, b.i AS x, (a.i * a.i + 3e0 * b.i) / 1024 AS h FROM ({r32}) a CROSS JOIN ({r32}) b))""",
     "audio_adsr_sine": f"""SELECT i, CAST(floor(round(32767 * sin(2 * {PI} * 440 * i / 8000) * CASE WHEN i < 100 THEN i / 100e0 WHEN i < 300 THEN 1 - 0.5e0 * (i - 100) / 200 WHEN i < 600 THEN 0.5e0 ELSE 0.5e0 * (1 - (i - 600) / 200e0) END, 3)) AS BIGINT) AS value FROM ({{r800}})""",
 }
 
+#: Magnitudes of the first 32 frequencies of each embedding, by the transform's definition.
+_DFT = f"""
+    SELECT vec_id, k, round(sqrt(re * re + im * im), 5) AS magnitude FROM (
+        SELECT vec_id, k, sum(v * cos(2 * {PI} * k * i / n)) AS re, sum(v * sin(2 * {PI} * k * i / n)) AS im FROM (
+            SELECT s.*, r.k FROM ({{series}}) s CROSS JOIN ({{range}}) r) GROUP BY vec_id, k)"""
+_DFT_SPARK = _DFT.format(series="SELECT vec_id, size(embedding) AS n, i, CAST(v AS DOUBLE) AS v FROM embeddings LATERAL VIEW posexplode(embedding) AS i, v", range="SELECT id AS k FROM range(32)")
+_DFT_DUCK = _DFT.format(series="SELECT vec_id, len(embedding) AS n, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings", range="SELECT range AS k FROM range(32)")
+
 
 def _filled(sql: str, form: str) -> str:
     import re
@@ -90,3 +106,4 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES = {k: _query(v) for k, v in SQL.items()} | {k: _query(_filled(v, _RANGE_SPARK)) for k, v in GENERATORS.items()}
 ORACLES = SQL | {k: _filled(v, _RANGE_DUCK) for k, v in GENERATORS.items()}
+QUERIES["dft_magnitudes"], ORACLES["dft_magnitudes"] = _query(_DFT_SPARK), _DFT_DUCK
