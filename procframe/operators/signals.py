@@ -33,7 +33,7 @@ def quantised(levels: int) -> str:
 
 #: Text that Spark and other engines read alike.
 SQL: dict[str, str] = {
-    "fit_linear_by_user": f"SELECT user_id, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(mse / var, 6) AS error, 48 AS cost, round(4.0 * n / 48, 6) AS ratio FROM ({LINE})",
+    "fit_linear_by_user": f"SELECT user_id, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(mse / var, 6) AS error, 48 AS cost, round(4e0 * n / 48, 6) AS ratio FROM ({LINE})",
     "delta_encode": f"SELECT user_id, i, round(d, 6) AS delta FROM ({DELTA})",
     "delta_decode": f"SELECT user_id, i, round(sum(d) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING), 4) AS value FROM ({DELTA})",
     "quantize8": f"SELECT l_returnflag, l_orderkey, l_linenumber, q FROM ({quantised(255)})",
