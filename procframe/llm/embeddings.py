@@ -23,10 +23,9 @@ from .common import bounded_batches, components, materialise
 SAMPLE, BITS, SEGMENTS, NEAR, ROUNDS = 20_000, 64, 4, 16, 30
 
 
-def rotation(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection to `bits` components) by iterative quantisation of unit vectors."""
-    mean = sample.mean(axis=0)
-    x = sample - mean
+def rotation(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> np.ndarray:
+    """Projection to `bits` components by iterative quantisation; not centred, so a small angle keeps few bits apart."""
+    x = sample
     basis = np.linalg.svd(x, full_matrices=False)[2][:bits].T
     if basis.shape[1] < bits:  # fewer components than bits: more directions at random
         more = np.random.default_rng(0).normal(size=(x.shape[1], bits - basis.shape[1]))
@@ -36,7 +35,7 @@ def rotation(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> tupl
     for _ in range(rounds):
         a, _, b = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
         r = (a @ b).T
-    return mean, basis @ r
+    return basis @ r
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -56,12 +55,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     sample = groups.where(F.pmod(F.xxhash64(F.lit("rotation"), "node"), F.lit(1_000_000)) <= int(share * 1_000_000)).select("v").toPandas()["v"]
     width = int(np.bincount([len(x) for x in sample]).argmax())
     unit = np.array([x for x in sample if len(x) == width], float)
-    mean, project = rotation(unit / np.linalg.norm(unit, axis=1, keepdims=True))
+    project = rotation(unit / np.linalg.norm(unit, axis=1, keepdims=True))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column(2).to_pylist(), float).reshape(-1, width)
-            bits = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ project >= 0
+            bits = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ project >= 0
             codes = np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(codes)], names=["node", "label", "code"])
 
