@@ -16,9 +16,11 @@ empty table gives no piece. A document that lies in several windows gives a piec
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +38,26 @@ SENTENCE_CUT, INNER_CUT = 24, 192
 BLOCK = 1 << 18
 #: Words whose ids a Python worker remembers.
 CACHE_WORDS = 1 << 20
+CACHE_TAILS = 1 << 14
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _workers: dict[str, tuple] = {}
 
 
+#: A word of one pre-token of Latin-1 letters, and the run of ASCII punctuation behind it, if any: another pre-token.
+SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)")
+
+
 class Words:
     """Token ids of whole texts by a vocabulary whose pre-tokeniser never joins what ASCII white space parts.
 
-    A text's ids are then those of its white-space-separated words, which are remembered as little-endian uint32.
+    A text's ids are then those of its white-space-separated words, which are remembered as little-endian uint32. Words
+    that are letters and then punctuation go to the merges directly, part by part, past the normaliser and pre-tokeniser.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -56,18 +65,42 @@ class Words:
         self.enders = np.zeros(max(vocabulary.values()) + 1, bool)
         self.enders[[i for piece, i in vocabulary.items() if piece.endswith("</w>") and piece[:-4].rstrip(".!?") != piece[:-4] and not piece[:-4].rstrip(".!?\"')]}").isalnum()]] = True
         self.known: dict[bytes, bytes] = {}
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(33, 256) if chr(c).isprintable()]
+        self.spelt = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
+        self.merged = self.tokenizer.model.tokenize
+        self.tails: dict[str, bytes] = {}
+
+    def _part(self, text: str) -> bytes:
+        return np.array([t.id for t in self.merged(text.lower().translate(self.spelt))], "<u4").tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, tails, others = self.known, self.tails, []
+        for word in new:
+            if (m := SIMPLE.fullmatch(word.decode())) is None:
+                others.append(word)
+                continue
+            core, tail = m.groups()
+            ids = self._part(core)
+            if tail:
+                if tail not in tails:
+                    if len(tails) > CACHE_TAILS:
+                        tails.clear()
+                    tails[tail] = self._part(tail)
+                ids += tails[tail]
+            known[word] = ids
+        for at in range(0, len(others), 20_000):
+            part = others[at : at + 20_000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                known[word] = np.array(found.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         split = [text.encode().split() for text in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        if len(self.known) > CACHE_WORDS:  # common words come early: forget those that came last
+            self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))
+        self._learn(list(set().union(*split).difference(self.known)))
+        found = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(found, words)), "<u4") for words in split]
 
 
 def words_of(path: str) -> Words:

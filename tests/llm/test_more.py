@@ -1,6 +1,7 @@
 import pytest
 
-from procframe.llm import embeddings, licenses, line_dedup, revisits
+from procframe.llm import embeddings, licenses, line_dedup, packing, revisits
+from procframe.llm.queries import vocabulary
 
 RECORDS = "record_id long, url string, time long, revisit boolean, etag string, date long"
 
@@ -38,3 +39,10 @@ def test_revisits(spark):
     ]
     got = {r.record_id: (r.source_id, r.resolved) for r in revisits.resolve(spark.createDataFrame(rows, RECORDS)).collect()}
     assert got == {1: (None, True), 2: (1, True), 3: (None, True), 4: (None, False), 5: (None, False), 6: (None, False)}
+
+
+def test_words_are_the_tokenizers():
+    path = vocabulary("word_bpe_49k.json")
+    words = packing.Words(path)
+    for text in ("", "don't it's' 's. x's", "İstanbul ÀÉ× ßª á <|endoftext|> foo<|endoftext|>", "ÿ Ÿ STRASSE'''  a b #tag a,b,, ...a", "über, Ça$$$ 3rd x2. \x1c a b 漢字! é"):
+        assert words.ids([text])[0].tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
