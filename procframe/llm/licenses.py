@@ -1,8 +1,8 @@
 """Licence scan by ordered signature rules, in DataFrame operations alone and within each row.
 
 A text becomes its words (A-Z lowered; letters, digits and anything above ASCII), one blank between. Rules are regexes
-over that, each with a keyword among the words, a priority (0 first), a label and a confidence; only rules whose keyword
-occurs are tried. Of the detections, ordered by start, one that lies within an earlier one of the same or a better
+over that, each with keywords, a priority (0 first), a label and a confidence; only rules whose keywords all occur among
+the words are tried. Of the detections, ordered by start, one that lies within an earlier one of the same or a better
 priority is suppressed. Base phrases are counted at all their places and keep their labels, suppressed or not.
 
 score is 1 less the product of (1 - confidence) over the detections that stay. Null and blank texts have no word and
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-BASE = [("cc by", "cc-by", "cc"), ("general public license", "gpl", "general"), ("all rights reserved", "reserved", "rights")]
-#: label, keyword, how the name is written in words
+BASE = [("cc by", "cc-by", "by cc"), ("general public license", "gpl", "license public general"), ("all rights reserved", "reserved", "all reserved rights")]
+#: label, keywords, how the name is written in words
 NAMES = [
     ("apache-2.0", "apache", "apache (?:software )?(?:license )?(?:version |v ?)?2(?: 0)?"), ("apache", "apache", "apache(?: software)?(?: license)?"),
     ("mit", "mit", "mit(?: x11)?(?: license)?"), ("bsd-2", "bsd", "bsd 2 clause"), ("bsd-3", "bsd", "bsd 3 clause"), ("bsd", "bsd", "(?:modified |new |simplified )?bsd(?: style)?"),
@@ -24,49 +24,51 @@ NAMES = [
     ("lgpl", "lgpl", "(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?"), ("lgpl", "lesser", "gnu lesser general public license"), ("agpl", "agpl", "(?:gnu )?agpl(?: ?v?3)?"), ("agpl", "affero", "gnu affero general public license"),
     ("mpl-2.0", "mozilla", "mozilla public license(?: version)?(?: 2 0)?"), ("mpl-2.0", "mpl", "mpl 2 0"), ("epl", "eclipse", "eclipse public license(?: v?[12](?: 0)?)?"), ("cddl", "cddl", "cddl(?: 1 [01])?"), ("isc", "isc", "isc"),
     ("zlib", "zlib", "zlib(?: libpng)?"), ("boost", "boost", "boost software(?: license)?(?: 1 0)?"), ("unlicense", "unlicense", "(?:the )?unlicense"), ("wtfpl", "wtfpl", "wtfpl"), ("artistic", "artistic", "artistic(?: license)?(?: 2 0)?"),
-    ("cc0", "cc0", "cc0(?: 1 0)?"), ("cc-by-nc", "nc", "cc by nc(?: [1-4] [0-9])?"), ("cc-by-sa", "sa", "cc by sa(?: [1-4] [0-9])?"), ("cc-by-nd", "nd", "cc by nd(?: [1-4] [0-9])?"), ("cc-by-nc-sa", "nc", "cc by nc sa(?: [1-4] [0-9])?"),
-    ("cc-by-nc-nd", "nc", "cc by nc nd(?: [1-4] [0-9])?"), ("cc-by", "creative", "creative commons attribution"), ("cc-by-sa", "sharealike", "creative commons attribution sharealike"), ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial"),
+    ("cc0", "cc0", "cc0(?: 1 0)?"), ("cc-by-nc", "cc nc", "cc by nc(?: [1-4] [0-9])?"), ("cc-by-sa", "cc sa", "cc by sa(?: [1-4] [0-9])?"), ("cc-by-nd", "cc nd", "cc by nd(?: [1-4] [0-9])?"), ("cc-by-nc-sa", "cc nc", "cc by nc sa(?: [1-4] [0-9])?"),
+    ("cc-by-nc-nd", "cc nc", "cc by nc nd(?: [1-4] [0-9])?"), ("cc-by", "creative", "creative commons attribution"), ("cc-by-sa", "sharealike", "creative commons attribution sharealike"), ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial"),
     ("ofl", "ofl", "sil ofl"), ("ofl", "sil", "sil open font license"), ("odbl", "odbl", "odbl"), ("python", "psf", "psf(?: license)?"), ("php", "php", "php license"), ("eupl", "eupl", "eupl(?: 1 [12])?"), ("postgresql", "postgresql", "postgresql license"),
 ]
-#: priority, confidence, how a text speaks of a name
+#: priority, confidence, a word of its own, how a text speaks of a name
 FORMS = [
-    (0, 0.99, "spdx license identifier {}"), (1, 0.95, "(?:is |are )?licensed under (?:the (?:terms of the )?)?{}"), (1, 0.95, "released under (?:the )?{}"),
-    (1, 0.95, "(?:distributed|available|provided) under (?:the (?:terms of the )?)?{}"), (2, 0.85, "{} license"), (2, 0.85, "under (?:the )?terms of (?:the )?{}"), (2, 0.8, "license {}"),
+    (0, 0.99, "spdx", "spdx license identifier {}"), (1, 0.95, "licensed", "(?:is |are )?licensed under (?:the (?:terms of the )?)?{}"), (1, 0.95, "released", "released under (?:the )?{}"),
+    (1, 0.95, "under", "(?:distributed|available|provided) under (?:the (?:terms of the )?)?{}"), (2, 0.85, "license", "{} license"), (2, 0.85, "terms", "under (?:the )?terms of (?:the )?{}"), (2, 0.8, "license", "license {}"),
 ]
-RULES = [(p, conf, label, keyword, form.format(f"(?:{name})")) for label, keyword, name in NAMES for p, conf, form in FORMS]
+RULES = [(p, conf, label, f"{word} {keyword}", form.format(f"(?:{name})")) for label, keyword, name in NAMES for p, conf, word, form in FORMS]
 RULES += [(3, 0.6, label, keyword, phrase) for phrase, label, keyword in BASE]
 RULES += [(3, 0.5, "copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"), (3, 0.7, "public-domain", "domain", "(?:in|to) the public domain")]
 
 
 def _starts(body: Column, pattern: Column) -> Column:
     """(start, stop) in words of each match of a pattern in ' word word '."""
-    marked = F.split(F.regexp_replace(body, F.concat(F.lit("(?<= )("), pattern, F.lit(")(?= )")), F.lit("\x01$1\x02")), " ")
+    whole = F.concat(F.lit("(?<= )("), pattern, F.lit(")(?= )"))
+    marked = F.when(F.regexp_like(body, whole), F.split(F.regexp_replace(body, whole, F.lit("\x01$1\x02")), " ")).otherwise(F.array().cast("array<string>"))
     at = F.transform(marked, lambda w, i: F.struct(w.startswith("\x01").alias("first"), w.endswith("\x02").alias("last"), (i - 1).alias("i")))
     first = F.transform(F.filter(at, lambda x: x["first"]), lambda x: x["i"])
     last = F.transform(F.filter(at, lambda x: x["last"]), lambda x: x["i"])
     return F.arrays_zip(first.alias("start"), last.alias("stop"))
 
 
-def _places(phrase: str, label: str, keyword: str) -> Column:
-    """(start, label) of each place of a base phrase; none where its keyword is absent."""
+def _places(phrase: str, label: str, keywords: str) -> Column:
+    """(start, label) of each place of a base phrase; none where one of its keywords is absent."""
     none = F.array().cast("array<struct<start:bigint,label:string>>")
     every = F.transform(_starts(F.col("body"), F.lit(phrase)), lambda d: F.struct(d["start"].cast("long").alias("start"), F.lit(label).alias("label")))
-    return F.coalesce(F.when(F.array_contains("held", keyword), every), none)
+    return F.coalesce(F.when(F.size(F.array_except(F.array(*map(F.lit, keywords.split())), F.col("held"))) == 0, every), none)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs (doc_id, text)."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     text = F.coalesce("text", F.lit(""))
-    keywords = sorted({k for *_, k, _ in RULES})
-    rules = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c"), F.lit(label).alias("label"), F.lit(k).alias("k"), F.lit(x).alias("x")) for p, c, label, k, x in RULES])
+    words = sorted({w for *_, k, _ in RULES for w in k.split()})
+    keywords = sorted({k.split()[-1] for *_, k, _ in RULES})  # the rarest of a rule's
+    rules = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c"), F.lit(label).alias("label"), F.array(*map(F.lit, k.split())).alias("k"), F.lit(x).alias("x")) for p, c, label, k, x in RULES])
     gate = f"(?i)(?<![0-9a-z\\x80-\\x{{10FFFF}}])(?:{'|'.join(keywords)})(?![0-9a-z\\x80-\\x{{10FFFF}}])"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.regexp_count(text, F.lit("[0-9A-Za-z\\x80-\\x{10FFFF}]+")).cast("long").alias("n_words"), text.rlike(gate).alias("open"))
     body = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", upper, lower), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")), F.lit(" "))
     rows = rows.withColumn("body", F.when(F.col("open"), body)).drop("text")
-    held = F.array_intersect(F.split("body", " "), F.array(*map(F.lit, keywords)))
+    held = F.array_intersect(F.split("body", " "), F.array(*map(F.lit, words)))
     rows = rows.withColumn("held", held)
-    tried = F.filter(rules, lambda r: F.array_contains(F.col("held"), r["k"]))
+    tried = F.filter(rules, lambda r: F.size(F.array_except(r["k"], F.col("held"))) == 0)
     found = F.flatten(F.transform(tried, lambda r: F.transform(_starts(F.col("body"), r["x"]), lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("stop"), r["p"].alias("p"), r["label"].alias("label"), r["c"].alias("c")))))
     base = F.flatten(F.array(*[_places(phrase, label, keyword) for phrase, label, keyword in BASE]))
     rows = rows.withColumn("base", base).withColumn("found", F.array_sort(F.coalesce(found, F.array().cast("array<struct<start:int,stop:int,p:int,label:string,c:double>>"))))
