@@ -32,7 +32,7 @@ def top_pair(data: bytes) -> tuple[int, int, int] | None:
     return (at // 256, at % 256, int(counts[at])) if counts[at] >= 2 else None
 
 
-def _per_document(columns: str, f: Callable[[bytes], tuple]) -> Callable[[SparkSession, str], DataFrame]:
+def per_document(columns: str, f: Callable[[bytes], tuple]) -> Callable[[SparkSession, str], DataFrame]:
     names = [x.split()[0] for x in columns.split(", ")]
     kinds = {"double": pa.float64(), "long": pa.int64()}
     types = [kinds[x.split()[1]] for x in columns.split(", ")]
@@ -61,9 +61,9 @@ def sha256_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "byte_entropy": _per_document("entropy double, n_bytes long", _minimum),
-    "bpe_top_pair": _per_document("a long, b long, n long", lambda data: top_pair(data) or (None, None, None)),
-    "codec_sizes": _per_document("raw long, zlib long, lzma long", lambda data: (len(data), len(zlib.compress(data, 6)), len(lzma.compress(data, preset=1)))),
+    "byte_entropy": per_document("entropy double, n_bytes long", _minimum),
+    "bpe_top_pair": per_document("a long, b long, n long", lambda data: top_pair(data) or (None, None, None)),
+    "codec_sizes": per_document("raw long, zlib long, lzma long", lambda data: (len(data), len(zlib.compress(data, 6)), len(lzma.compress(data, preset=1)))),
     "sha256_docs": sha256_docs,
 }
 _BYTES = "SELECT doc_id, generate_subscripts(b, 1) AS k, unnest(b) AS h FROM (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents)"

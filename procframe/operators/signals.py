@@ -94,7 +94,7 @@ def _filled(sql: str, form: str) -> str:
     return re.sub(r"\{r(\d+)\}", lambda m: form.format(n=m[1]), sql)
 
 
-def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+def query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         import re
 
@@ -104,6 +104,6 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {k: _query(v) for k, v in SQL.items()} | {k: _query(_filled(v, _RANGE_SPARK)) for k, v in GENERATORS.items()}
+QUERIES = {k: query(v) for k, v in SQL.items()} | {k: query(_filled(v, _RANGE_SPARK)) for k, v in GENERATORS.items()}
 ORACLES = SQL | {k: _filled(v, _RANGE_DUCK) for k, v in GENERATORS.items()}
-QUERIES["dft_magnitudes"], ORACLES["dft_magnitudes"] = _query(_DFT_SPARK), _DFT_DUCK
+QUERIES["dft_magnitudes"], ORACLES["dft_magnitudes"] = query(_DFT_SPARK), _DFT_DUCK

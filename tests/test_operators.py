@@ -1,19 +1,21 @@
 import duckdb
+import numpy as np
 import pytest
 
-from procframe.operators import byte_ops, signals
+from procframe.functions import codecs
+from procframe.operators import byte_ops, models, signals
 
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(signals.ORACLES | byte_ops.ORACLES))
+@pytest.mark.parametrize("name", sorted(signals.ORACLES | byte_ops.ORACLES | models.ORACLES))
 def test_matches_sql(spark, name):
-    got = (signals.QUERIES | byte_ops.QUERIES)[name](spark, DATA)
+    got = (signals.QUERIES | byte_ops.QUERIES | models.QUERIES)[name](spark, DATA)
     db = duckdb.connect()
     for table in signals.TABLES:
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     columns = ", ".join(got.columns)
-    want = db.execute(f"SELECT {columns} FROM ({(signals.ORACLES | byte_ops.ORACLES)[name]})").fetchall()
+    want = db.execute(f"SELECT {columns} FROM ({(signals.ORACLES | byte_ops.ORACLES | models.ORACLES)[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
@@ -27,3 +29,49 @@ def test_entropy_bounds():
     assert byte_ops.entropy(bytes(range(256))) == 8
     assert byte_ops.entropy(b"") == 0
     assert byte_ops.entropy(b"**") == 0
+
+
+@pytest.mark.parametrize("name", sorted(set(models.QUERIES) - set(models.ORACLES)))
+def test_runs_without_sql(spark, name):
+    rows = models.QUERIES[name](spark, DATA).collect()
+    assert rows and all(getattr(r, "exact", 1) == 1 for r in rows)
+
+
+def test_polynomials_are_least_squares(spark):
+    x = np.linspace(0, 1, 200)
+    y = 2 * x**2 - x + 0.5 + np.sin(40 * x)
+    sums = {f"x{k}": (x**k).sum() for k in range(11)} | {f"y{k}": (x**k * y).sum() for k in range(6)} | {"yy": (y * y).sum()}
+    coeffs, error = models.solve(sums)
+    assert np.allclose(coeffs, np.polyfit(x, y, 5), atol=1e-4)
+    assert error == pytest.approx(((np.polyval(coeffs, x) - y) ** 2).mean() / y.var(), rel=1e-6)
+
+
+def test_fourier_finds_tones():
+    t = np.arange(512) / 512
+    terms, error = models.fourier(1.5 * np.sin(2 * np.pi * 3 * t) + 0.8 * np.sin(2 * np.pi * 7 * t))
+    assert [k for k, _, _ in terms] == [3, 7] and error < 1e-9
+
+
+@pytest.mark.parametrize("data", [b"", b"x", b"abcabcabcabc", b"a" * 100, bytes(range(256)) * 2])
+@pytest.mark.parametrize("window, lookahead", [(256, 32), (0, 32), (256, 0)])
+def test_lz77_comes_back(data, window, lookahead):
+    tokens = codecs.lz77_encode(data, window, lookahead)
+    assert codecs.lz77_decode(tokens, len(data)) == data
+    if not window or not lookahead:
+        assert tokens == [(0, 0, b) for b in data]
+
+
+def test_phrases_and_pairs():
+    assert codecs.recent_phrases([b"a", b"b", b"a", b"c", b"d"], 3) == [b"b", b"c", b"d"]
+    assert codecs.replace_pair(b"ababab", (97, 98), 88) == b"XXX"
+
+
+def test_residuals_come_back():
+    values = (100 * np.sin(np.arange(1000))).astype(np.float32)
+    assert (codecs.unpack_lossless(codecs.pack_lossless(values)) == values).all()
+    assert abs(codecs.unpack_quantised(codecs.pack_quantised(values)) - values).max() < 1
+    assert abs(codecs.unpack_quantised(codecs.pack_quantised(values, 16)) - values).max() < 0.01
+    assert len(codecs.unpack_quantised(codecs.pack_quantised(values[:0]))) == 0
+    for bad, f in ((b"\x00abcdef", codecs.unpack_lossless), (b"abc", codecs.unpack_quantised)):
+        with pytest.raises(ValueError):
+            f(bad)
