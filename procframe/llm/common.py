@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,9 +26,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/procframe-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of queries that are done: it follows the driver's garbage collector."""
+    time.sleep(0.3)  # listeners hold a query until they have heard that it ended
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, so that long texts don't pile up in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

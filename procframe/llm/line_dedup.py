@@ -1,10 +1,16 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations alone.
 
-A line is the set of its words. Equal sets are one class, named by its first line (doc_id, line number). The words of a
-class are ordered by rarity (their counts in a table of SKETCH cells over the whole corpus, then their hash); two sets of
-Jaccard similarity 0.8 or more share a word in their prefixes of n - ceil(0.8 n) + 1 words. Classes meet on those words,
-are held to the length and positional filters and to a 64-bit parity map (the sets differ in at least as many words as
-their maps differ in bits), and the pairs left are verified on the whole sets. A line goes if an earlier line is similar.
+A line is the set of its words. Lines of equal text are one class, placed at its first line (doc_id, line number). The
+words of a class are ordered by rarity (the rank of their cell in a table of SKETCH counts over all classes, then their
+hash); two sets of Jaccard similarity 0.8 or more share a word in their prefixes of n - ceil(0.8 n) + 1 words. Classes
+meet on those words, are held to the length and positional filters, to a 128-bit parity map (the sets differ in at least
+as many words as their maps differ in bits) and to the number of words their prefixes share, and the pairs left are
+verified on the words of the lines themselves.
+A line goes if an earlier line is similar to it, whether or not that one stays.
+
+One earlier line is enough, so each class first meets only the earliest classes (PARTS at most) under each of FEW words
+of its prefix. Classes found gone there need no further look; the others meet all classes. Members of a large group of
+similar lines mostly go in the first round, and so aren't compared with each other.
 
 Null texts count as empty. Lines without words stay. Rows that share an id count as one document in the order of lines;
 extra columns pass through. An empty table stays empty.
@@ -12,58 +18,167 @@ extra columns pass through. An empty table stays empty.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release, shared_dir, shuffle_partitions
 
 SKETCH = 1 << 16
+#: Words of a class, and earliest classes under each, that the first round looks at.
+FEW, PARTS = 3, 8
+#: The id that stands for null.
+NULL = -(2**63)
+#: Lines of a document at most; a place is doc_id * LINES + line number.
+LINES = 1 << 32
+
+
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
+    each = docs.select(_doc().alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
+    place = F.col("doc").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + F.col("no")
+    return each.where(F.col("line").rlike("[^ \\t\\x0B\\f\\r]")).select(place.cast("decimal(38,0)").alias("at"), "line")
+
+
+def _place_doc() -> Column:
+    return F.floor(F.col("at") / F.lit(LINES).cast("decimal(11,0)")).cast("long")
+
+
+def _split(line: Column) -> Column:
+    """Words of a line, and empty ones."""
+    return F.split(F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line), " ")
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda w: w != "")
+    """Words of a line, once each."""
+    return F.array_remove(F.array_distinct(_split(line)), "")
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """(doc, no): the lines with words that stay."""
-    lines = _lines(docs)
-    cells = lines.select(F.explode(_words(F.col("line"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(SKETCH)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    table = [0] * SKETCH
+def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """materialise() for a table in buckets of its column id, which later joins on it need not shuffle."""
+    spark, table = df.sparkSession, f"procframe_{name}_{uuid.uuid4().hex}"
+    written = df.write.format("parquet").option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd")
+    written.bucketBy(buckets, "id").saveAsTable(table)
+    release(spark)
+    return spark.table(table)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """(id, line, at): each line text once, with a hash of it and its first place, bucketed by the hash."""
+    buckets = shuffle_partitions(docs.sparkSession)
+    found = _lines(docs).withColumn("id", F.xxhash64("line")).groupBy("id", "line").agg(F.min("at").alias("at"))
+    return _bucketed(found.repartition(buckets, "id"), "lines", buckets)
+
+
+def _ranks(classes: DataFrame) -> Column:
+    """For each cell of words its rank by their count, in the high bits of a long, as one literal array."""
+    words = classes.select(F.explode(_split(F.col("line"))).alias("w")).where("w <> ''")
+    cells = words.groupBy(F.xxhash64("w").bitwiseAND(SKETCH - 1).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    counts = [0] * SKETCH
     for r in cells.collect():  # SKETCH cells whatever the corpus
-        table[r.cell] = min(r.n, (1 << 16) - 1)
-    sketch = F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")  # folded to one array
-
-    def coded(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rarity = F.element_at(sketch, (F.pmod(h, F.lit(SKETCH)) + 1).cast("int"))
-        return F.shiftleft(rarity, 47).bitwiseOR(F.shiftrightunsigned(h, 17))
-
-    sets = lines.select("doc", "no", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), coded))).alias("s")).where(F.size("s") > 0)
-    classes = sets.groupBy(F.xxhash64("s").alias("id"), "s").agg(F.min(F.struct("doc", "no")).alias("at"))
-    classes = materialise(classes.withColumn("n", F.size("s")).withColumn("map", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))), "classes")
-    prefix = F.expr("slice(s, 1, n - cast(ceil(0.8 * n) as int) + 1)")
-    posted = classes.select("id", "at", "n", "map", F.posexplode(prefix).alias("p", "w"))
+        counts[r.cell] = r.n
+    ranks = [0] * SKETCH
+    for rank, cell in enumerate(sorted(range(SKETCH), key=lambda c: (counts[c], c))):
+        ranks[cell] = (rank - SKETCH // 2) << 48
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
+
+
+def _prefixes(classes: DataFrame) -> DataFrame:
+    """(id, at, doc, n, map, map2, prefix) of each class, bucketed as classes are."""
+    ranks, one = _ranks(classes), F.lit(1).cast("long")
+    hashes = F.array_distinct(F.transform(F.array_remove(_split(F.col("line")), ""), lambda w: F.xxhash64(w)))
+    # the rank stands for the hash's low 16 bits: a code names its hash
+    codes = F.sort_array(F.transform(hashes, lambda h: F.shiftrightunsigned(h, 16).bitwiseOR(F.get(ranks, h.bitwiseAND(SKETCH - 1).cast("int")))))
+    # exploded from an array of one, so that map and prefix don't compute the codes again
+    sets = classes.select("id", "at", _place_doc().alias("doc"), F.explode(F.array(codes)).alias("s")).withColumn("n", F.size("s"))
+
+    def parity(half: Column) -> Column:
+        """XOR of a bit for each code x: bit x % 64, for the half of them that `half` names by bit 6."""
+        bit = lambda x: F.call_function("shiftleft", F.shiftright(x.bitwiseXOR(half), 6).bitwiseAND(one), x.bitwiseAND(63).cast("int"))
+        return F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+
+    maps = parity(F.lit(0).cast("long")).alias("map"), parity(F.lit(64).cast("long")).alias("map2")
+    found = sets.select("id", "at", "doc", "n", *maps, F.expr("slice(s, 1, n - cast(ceil(0.8 * n) as int) + 1)").alias("prefix"))
+    return _bucketed(found, "prefixes", shuffle_partitions(classes.sparkSession))
+
+
+def _later(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, at): the later class of each pair (x, y) of ids that is similar. `pairs` must be written already."""
+    ids = materialise(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
+    # Spark knows the size of ids; where it is over its bound for a broadcast, the buckets are joined
+    lines = materialise(classes.join(ids, "id", "left_semi"), "lines")
+    x, y = (lines.select(F.col("id").alias(k), F.col("line").alias(f"{k}_line"), F.col("at").alias(f"{k}_at")) for k in "xy")
+    words = F.explode(F.array(F.struct(_words(F.col("x_line")).alias("x"), _words(F.col("y_line")).alias("y"))))  # split once
+    both = pairs.join(x, "x").join(y, "y").select("x", "y", "x_at", "y_at", words.alias("words"))
+    similar = both.where(9 * F.size(F.array_intersect("words.x", "words.y")) >= 4 * (F.size("words.x") + F.size("words.y")))
+    first = F.col("x_at") < F.col("y_at")
+    return similar.select(F.when(first, F.col("y")).otherwise(F.col("x")).alias("id"), F.greatest("x_at", "y_at").alias("at")).distinct()
+
+
+def _near(a: str, b: str) -> str:
+    """Length filter and parity maps."""
+    return f"5 * {a}.n >= 4 * {b}.n AND 5 * {b}.n >= 4 * {a}.n AND 9 * (bit_count({a}.map ^ {b}.map) + bit_count({a}.map2 ^ {b}.map2)) <= {a}.n + {b}.n"
+
+
+def _first_round(prefixes: DataFrame) -> DataFrame:
+    """(x, y): each class y with the earliest classes x under FEW words of its prefix, past the filters."""
+    few = F.slice(F.sort_array(F.transform("prefix", lambda w: F.xxhash64(w))), 1, FEW)  # similar sets mostly choose alike
+    keyed = prefixes.select("id", "doc", "n", "map", "map2", F.explode(few).alias("key"))
+    hubs = keyed.groupBy("key", F.pmod("id", F.lit(PARTS)).alias("part")).agg(F.min(F.struct("doc", "id", "n", "map", "map2")).alias("hub"))
+    hubs = hubs.select("key", "hub.*").alias("a")
+    return keyed.alias("b").join(hubs, F.expr(f"a.key = b.key AND a.id <> b.id AND a.doc <= b.doc AND {_near('a', 'b')}")).selectExpr("a.id AS x", "b.id AS y").distinct()
+
+
+def _rest(prefixes: DataFrame) -> DataFrame:
+    """(x, y): every two classes of which one is still open that share a word of their prefixes and pass the filters."""
+    # a word's code and place only select candidates, so 32 bits of the code do; n and p share a long, below 0 for the closed
+    each = prefixes.select("id", "map", "map2", "n", "open", F.posexplode("prefix").alias("p", "code"))
+    at = F.shiftleft(F.col("n").cast("long"), 31) + F.col("p")
+    posted = each.select("id", "map", "map2", F.hash("code").alias("w"), F.when(F.col("open"), at).otherwise(-at).alias("np"))
     a, b = posted.alias("a"), posted.alias("b")
-    same = F.expr("""
-        a.w = b.w AND b.at < a.at AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
-        AND 9 * (1 + least(a.n - a.p - 1, b.n - b.p - 1)) >= 4 * (a.n + b.n) AND 9 * bit_count(a.map ^ b.map) <= a.n + b.n""")
-    pairs = a.join(b, same).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    whole = classes.select("id", "s", "n")
-    found = pairs.join(whole.selectExpr("id AS x", "s AS sx", "n AS nx"), "x").join(whole.selectExpr("id AS y", "s AS sy", "n AS ny"), "y")
-    gone = found.where(9 * F.size(F.array_intersect("sx", "sy")) >= 4 * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("id")).distinct()
-    return classes.join(gone, "id", "left_anti").select("at.doc", "at.no")
+    # the whole condition looks at both sides, so that both read one exchange
+    an, bn, ap, bp = "shiftright(abs(a.np), 31)", "shiftright(abs(b.np), 31)", "(abs(a.np) & 2147483647)", "(abs(b.np) & 2147483647)"
+    same = F.expr(f"""
+        a.w = b.w AND b.np > CASE WHEN a.id < b.id OR (a.np < 0 AND a.id <> b.id) THEN 0 ELSE {2**63 - 1} END
+        AND 9 * (bit_count(a.map ^ b.map) + bit_count(a.map2 ^ b.map2)) <= {an} + {bn} AND 5 * {an} >= 4 * {bn} AND 5 * {bn} >= 4 * {an}""")
+    least = F.expr(f"(4 * ({an} + {bn}) + 8) div 9")  # words that similar sets share
+    # the set whose prefix ends on the rarer word has all shared words in both prefixes, or behind its own
+    behind = F.expr(f"(4 * greatest({an}, {bn}) + 4) div 5 - 1")
+    met = a.join(b, same).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), least.alias("least"), behind.alias("behind"), F.expr(f"least({an} - {ap}, {bn} - {bp})").alias("left"))
+    shared = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"), F.max("behind").alias("behind"), F.max("left").alias("left"))
+    return shared.where("left >= least AND n + behind >= least").select("x", "y")
+
+
+def _by_id(gone: DataFrame) -> DataFrame:
+    """gone for a join on id alone, the key of the buckets; two lines of one hash are told apart by their places."""
+    return gone.groupBy("id").agg(F.collect_set("at").alias("places"))
+
+
+def _open() -> Column:
+    return ~F.coalesce(F.array_contains("places", F.col("at")), F.lit(False))
+
+
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """(doc, no): the lines with words that stay."""
+    classes = _classes(docs)
+    prefixes = _prefixes(classes)
+    gone = materialise(_later(materialise(_first_round(prefixes), "first"), classes), "gone")
+    marked = prefixes.join(_by_id(gone), "id", "left").withColumn("open", _open())
+    pairs = materialise(_rest(marked), "pairs")
+    gone = materialise(gone.union(_later(pairs, classes)), "all_gone")
+    stay = classes.select("id", "at").join(_by_id(gone), "id", "left").where(_open())
+    return stay.select(_place_doc().alias("doc"), F.pmod("at", F.lit(LINES).cast("decimal(11,0)")).cast("int").alias("no"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text rebuilt from the lines that stay, and n_lines and n_removed."""
-    kept = kept_lines(docs).groupBy("doc").agg(F.collect_set("no").alias("__kept"))
+    kept = materialise(kept_lines(docs).groupBy("doc").agg(F.collect_set("no").alias("__kept")), "kept")
     split = F.split(F.coalesce("text", F.lit("")), "\n")
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    joined = keyed.join(kept, F.col("__doc") == F.col("doc"), "left").withColumn("__lines", split)
-    stays = F.filter("__lines", lambda line, i: (F.size(_words(line)) == 0) | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
+    joined = docs.withColumn("__doc", _doc()).join(kept, F.col("__doc") == F.col("doc"), "left").withColumn("__lines", split)
+    stays = F.filter("__lines", lambda line, i: ~line.rlike("[^ \\t\\x0B\\f\\r]") | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
     out = joined.withColumn("text", F.array_join(stays, "\n")).withColumn("n_lines", F.size("__lines")).withColumn("n_removed", F.col("n_lines") - F.size(stays))
     return out.select(*docs.columns, "n_lines", "n_removed")

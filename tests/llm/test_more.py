@@ -46,3 +46,30 @@ def test_words_are_the_tokenizers():
     words = packing.Words(path)
     for text in ("", "don't it's' 's. x's", "İstanbul ÀÉ× ßª á <|endoftext|> foo<|endoftext|>", "ÿ Ÿ STRASSE'''  a b #tag a,b,, ...a", "über, Ça$$$ 3rd x2. \x1c a b 漢字! é"):
         assert words.ids([text])[0].tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_similar_lines_by_brute_force(spark):
+    import random
+
+    deal = random.Random(3)
+    base = [[f"w{deal.randrange(40)}" for _ in range(deal.randrange(1, 14))] for _ in range(25)]
+
+    def line():
+        words = list(deal.choice(base))
+        for _ in range(deal.randrange(3)):
+            words[deal.randrange(len(words))] = f"w{deal.randrange(60)}"
+        return deal.choice([" ", "  ", "\t"]).join(words) if deal.random() > 0.1 else deal.choice(["", " \t"])
+
+    texts = {i: "\n".join(line() for _ in range(deal.randrange(1, 9))) for i in range(-3, 60)}
+    seen, expected = [], {}
+    for i, text in texts.items():
+        stay = []
+        for x in text.split("\n"):
+            words = set(x.split())
+            if not any(words and 10 * len(words & y) >= 8 * len(words | y) for y in seen):
+                stay.append(x)
+            seen.append(words)
+        expected[i] = ("\n".join(stay), len(stay))
+    docs = spark.createDataFrame([(i, x, "clash", 0) for i, x in texts.items()], "doc_id long, text string, at string, line int")
+    got = {r.doc_id: (r.text, r.n_lines - r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == expected
