@@ -1,13 +1,19 @@
 """Not-modified revisit resolution for web captures.
 
 A capture is a full response or a revisit that stands for an unmodified one. Each revisit is joined, as of its time, to
-the latest earlier full response of its canonical URL and is resolved if the validators agree (same ETag). Headers of the
-response are kept, but those that a not-modified answer may renew (date, etag) come from the revisit.
+the latest earlier full response of its canonical URL. Validators are the ETag (compared weakly), the Last-Modified
+header and the payload digest: a revisit is resolved if at least one is known on both sides and none known on both
+sides differs. A validator in a column of its own counts before the same one among the headers.
+
+A resolved revisit gets the status, digest and headers of the response it stands for; only the headers that a
+not-modified answer may renew (RENEWED), and the columns etag and date, come from the revisit where it has them. Header
+names are lower-cased; of names that differ in case only, the last in order stays.
 
 The as-of join runs in two levels, so that a hot URL isn't gathered in one task: the last response of each (URL, block of
 time), carried over the blocks before, then within each block. Blocks hold BLOCK consecutive times. Null URLs count as
-one empty URL; a revisit without an earlier response, or with other validators, stays unresolved (source_id null).
-Repeated rows are resolved each; extra columns are ignored; an empty table gives an empty result.
+one empty URL; a revisit without an earlier response, with other validators or with none in common stays unresolved
+(source_id null) and keeps what it has. Repeated rows are resolved each; extra columns are ignored; records may lack the
+columns status, digest and headers, which then are null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+#: Headers that a not-modified answer may renew (RFC 9110, 15.4.5).
+RENEWED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
+OPTIONAL = {"status": "int", "digest": "string", "headers": "map<string,string>"}
+_ENTRIES = "array<struct<key:string,value:string>>"
 
 
 def canonical(url: Column) -> Column:
@@ -25,23 +35,57 @@ def canonical(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(F.regexp_replace(plain, "^[^/?]*", ""), "/$", ""))
 
 
+def _header(entries: Column, name: str) -> Column:
+    return F.element_at(F.map_from_entries(F.coalesce(entries, F.array().cast(_ENTRIES))), F.lit(name))
+
+
+def _validators(row: str = "") -> list[Column]:
+    etag = F.regexp_replace(F.trim(F.coalesce(f"{row}etag", _header(F.col(f"{row}headers"), "etag"))), "^W/", "")
+    return [etag, F.trim(_header(F.col(f"{row}headers"), "last-modified")), F.col(f"{row}digest")]
+
+
+def _entries(headers: Column) -> Column:
+    """Headers as sorted entries, which an aggregate can order, under lower-case names."""
+    lower = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    last = F.filter(lower, lambda e, i: ~F.exists(F.slice(lower, i + 2, F.size(lower)), lambda later: later["key"] == e["key"]))
+    return F.array_sort(last).cast(_ENTRIES)
+
+
 def resolve(records: DataFrame) -> DataFrame:
-    """record_id, url, revisit, source_id, resolved, etag, date, of records (record_id, url, time, revisit, etag, date)."""
-    found = records.select("record_id", canonical(F.col("url")).alias("url"), "time", "revisit", "etag", "date").withColumn("block", F.floor(F.col("time") / BLOCK))
-    response = F.when(~F.col("revisit"), F.struct("time", "record_id", "etag", "date"))
+    """record_id, url, revisit, source_id, resolved, etag, date, status, digest, headers (merged), of records.
+
+    records: (record_id, url, time, revisit, etag, date) and, where they are known, status, digest and headers.
+    """
+    more = [(F.col(c) if c in records.columns else F.lit(None)).cast(kind).alias(c) for c, kind in OPTIONAL.items()]
+    found = records.select("record_id", canonical(F.col("url")).alias("url"), "time", "revisit", "etag", "date", *more).withColumn("headers", _entries(F.col("headers"))).withColumn("block", F.floor(F.col("time") / BLOCK))
+    response = F.when(~F.col("revisit"), F.struct("time", "record_id", "etag", "date", *OPTIONAL))
     ends = found.groupBy("url", "block").agg(F.max(response).alias("latest"))
     before = Window.partitionBy("url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("url", "block", F.max("latest").over(before).alias("carried"))
     within = Window.partitionBy("url", "block").orderBy("time", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = found.join(carried, ["url", "block"]).withColumn("source", F.coalesce(F.max(response).over(within), "carried"))
-    good = F.col("revisit") & F.col("source.etag").eqNullSafe(F.col("etag")) & F.col("source").isNotNull()
-    return seen.select("record_id", "url", "revisit", F.when(good, F.col("source.record_id")).alias("source_id"), (~F.col("revisit") | good).alias("resolved"), "etag", "date")
+    same = [(a == b) for a, b in zip(_validators(), _validators("source."), strict=True)]  # null where one side has none
+    agree = F.coalesce(F.greatest(*same), F.lit(False)) & F.coalesce(F.least(*same), F.lit(False))
+    seen = seen.withColumn("good", F.col("revisit") & F.col("source").isNotNull() & agree)
+    none = F.array().cast(_ENTRIES)
+    renewed = F.filter(F.coalesce("headers", none), lambda e: e["key"].isin(RENEWED))
+    kept = F.filter(F.coalesce("source.headers", none), lambda e: ~F.exists(renewed, lambda r: r["key"] == e["key"]))
+    merged = F.when(F.col("headers").isNotNull() | F.col("source.headers").isNotNull(), F.array_sort(F.concat(kept, renewed)))
+    good = F.col("good")
+    own = [F.when(good, F.coalesce(c, f"source.{c}")).otherwise(F.col(c)).alias(c) for c in ("etag", "date")]
+    of_source = [F.when(good, F.coalesce(f"source.{c}", c) if c == "digest" else F.col(f"source.{c}")).otherwise(F.col(c)).alias(c) for c in ("status", "digest")]
+    headers = F.map_from_entries(F.when(good, merged).otherwise(F.col("headers"))).alias("headers")
+    return seen.select("record_id", "url", "revisit", F.when(good, F.col("source.record_id")).alias("source_id"), (~F.col("revisit") | good).alias("resolved"), *own, *of_source, headers)
 
 
 def captures(pages: DataFrame) -> DataFrame:
     """Records of a crawl in the order of page_id: each fourth page (by a hash) is asked for again and not modified."""
-    etag = F.md5(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
-    page = pages.select(F.col("page_id").alias("page"), "url", etag.alias("etag"))
-    full = page.select((F.col("page") * 2).alias("record_id"), "url", (F.col("page") * 2).alias("time"), F.lit(False).alias("revisit"), "etag", F.col("page").alias("date"))
-    again = page.where(F.crc32(F.col("page").cast("string")) % 4 == 0).select((F.col("page") * 2 + 1).alias("record_id"), "url", (F.col("page") * 2 + 1).alias("time"), F.lit(True).alias("revisit"), "etag", (F.col("page") + 1).alias("date"))
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    page = pages.select(F.col("page_id").alias("page"), "url", F.md5(body).alias("etag"), F.sha1(body).alias("digest"), F.octet_length(body).alias("length"))
+    stamp = lambda at: F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    modified = stamp(F.col("page"))
+    full_headers = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("Content-Length"), F.col("length").cast("string"), F.lit("Last-Modified"), modified, F.lit("ETag"), F.col("etag"), F.lit("Date"), modified)
+    again_headers = F.create_map(F.lit("Last-Modified"), modified, F.lit("ETag"), F.col("etag"), F.lit("Date"), stamp(F.col("page") + 1), F.lit("Content-Length"), F.lit("0"))
+    full = page.select((F.col("page") * 2).alias("record_id"), "url", (F.col("page") * 2).alias("time"), F.lit(False).alias("revisit"), "etag", F.col("page").alias("date"), F.lit(200).alias("status"), "digest", full_headers.alias("headers"))
+    again = page.where(F.crc32(F.col("page").cast("string")) % 4 == 0).select((F.col("page") * 2 + 1).alias("record_id"), "url", (F.col("page") * 2 + 1).alias("time"), F.lit(True).alias("revisit"), "etag", (F.col("page") + 1).alias("date"), F.lit(304).alias("status"), "digest", again_headers.alias("headers"))
     return full.union(again)
