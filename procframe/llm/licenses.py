@@ -2,7 +2,7 @@
 
 A text becomes its words (A-Z lowered; letters, digits and anything above ASCII), one blank between. Rules are regexes
 over that, each with keywords, a priority (0 first), a label and a confidence; only rules whose keywords all occur among
-the words are tried. Of the detections, ordered by start, one that lies within an earlier one of the same or a better
+the words are tried, and a keyword occurs in its spellings with a version joined on, too (JOINED). Of the detections, ordered by start, one that lies within an earlier one of the same or a better
 priority is suppressed. Base phrases are counted at all their places and keep their labels, suppressed or not.
 
 score is 1 less the product of (1 - confidence) over the detections that stay. Null and blank texts have no word and
@@ -20,7 +20,7 @@ BASE = [("cc by", "cc-by", "by cc"), ("general public license", "gpl", "license
 NAMES = [
     ("apache-2.0", "apache", "apache (?:software )?(?:license )?(?:version |v ?)?2(?: 0)?"), ("apache", "apache", "apache(?: software)?(?: license)?"),
     ("mit", "mit", "mit(?: x11)?(?: license)?"), ("bsd-2", "bsd", "bsd 2 clause"), ("bsd-3", "bsd", "bsd 3 clause"), ("bsd", "bsd", "(?:modified |new |simplified )?bsd(?: style)?"),
-    ("gpl-2", "gpl", "(?:gnu )?gpl(?: version| v)? ?2"), ("gpl-3", "gpl", "(?:gnu )?gpl(?: version| v)? ?3"), ("gpl-2", "gnu", "gnu general public license version 2"), ("gpl-3", "gnu", "gnu general public license version 3"),
+    ("gpl-2", "gpl", "(?:gnu )?gpl(?: version| ?v)? ?2"), ("gpl-3", "gpl", "(?:gnu )?gpl(?: version| ?v)? ?3"), ("gpl-2", "gnu", "gnu general public license version 2"), ("gpl-3", "gnu", "gnu general public license version 3"),
     ("lgpl", "lgpl", "(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?"), ("lgpl", "lesser", "gnu lesser general public license"), ("agpl", "agpl", "(?:gnu )?agpl(?: ?v?3)?"), ("agpl", "affero", "gnu affero general public license"),
     ("mpl-2.0", "mozilla", "mozilla public license(?: version)?(?: 2 0)?"), ("mpl-2.0", "mpl", "mpl 2 0"), ("epl", "eclipse", "eclipse public license(?: v?[12](?: 0)?)?"), ("cddl", "cddl", "cddl(?: 1 [01])?"), ("isc", "isc", "isc"),
     ("zlib", "zlib", "zlib(?: libpng)?"), ("boost", "boost", "boost software(?: license)?(?: 1 0)?"), ("unlicense", "unlicense", "(?:the )?unlicense"), ("wtfpl", "wtfpl", "wtfpl"), ("artistic", "artistic", "artistic(?: license)?(?: 2 0)?"),
@@ -28,6 +28,8 @@ NAMES = [
     ("cc-by-nc-nd", "cc nc", "cc by nc nd(?: [1-4] [0-9])?"), ("cc-by", "creative", "creative commons attribution"), ("cc-by-sa", "sharealike", "creative commons attribution sharealike"), ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial"),
     ("ofl", "ofl", "sil ofl"), ("ofl", "sil", "sil open font license"), ("odbl", "odbl", "odbl"), ("python", "psf", "psf(?: license)?"), ("php", "php", "php license"), ("eupl", "eupl", "eupl(?: 1 [12])?"), ("postgresql", "postgresql", "postgresql license"),
 ]
+#: words that the patterns of NAMES read as a keyword with something joined on
+JOINED = {"gplv": "gpl"} | {f"{name}{v}{n}": name for name, versions in (("gpl", "23"), ("lgpl", "23"), ("agpl", "3")) for v in ("", "v") for n in versions}
 #: priority, confidence, a word of its own, how a text speaks of a name
 FORMS = [
     (0, 0.99, "spdx", "spdx license identifier {}"), (1, 0.95, "licensed", "(?:is |are )?licensed under (?:the (?:terms of the )?)?{}"), (1, 0.95, "released", "released under (?:the )?{}"),
@@ -55,18 +57,24 @@ def _places(phrase: str, label: str, keywords: str) -> Column:
     return F.coalesce(F.when(F.size(F.array_except(F.array(*map(F.lit, keywords.split())), F.col("held"))) == 0, every), none)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs (doc_id, text)."""
+def scan(docs: DataFrame, gated: bool = True) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs (doc_id, text).
+
+    Without the gate all rules are tried on all texts, to the same result.
+    """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     text = F.coalesce("text", F.lit(""))
-    words = sorted({w for *_, k, _ in RULES for w in k.split()})
-    keywords = sorted({k.split()[-1] for *_, k, _ in RULES})  # the rarest of a rule's
+    words = sorted({w for *_, k, _ in RULES for w in k.split()} | {*JOINED})
+    keywords = {k.split()[-1] for *_, k, _ in RULES}  # the rarest of a rule's
+    keywords = sorted(keywords | {w for w, bare in JOINED.items() if bare in keywords})
     rules = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c"), F.lit(label).alias("label"), F.array(*map(F.lit, k.split())).alias("k"), F.lit(x).alias("x")) for p, c, label, k, x in RULES])
     gate = f"(?i)(?<![0-9a-z\\x80-\\x{{10FFFF}}])(?:{'|'.join(keywords)})(?![0-9a-z\\x80-\\x{{10FFFF}}])"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.regexp_count(text, F.lit("[0-9A-Za-z\\x80-\\x{10FFFF}]+")).cast("long").alias("n_words"), text.rlike(gate).alias("open"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.regexp_count(text, F.lit("[0-9A-Za-z\\x80-\\x{10FFFF}]+")).cast("long").alias("n_words"), (text.rlike(gate) if gated else F.lit(True)).alias("open"))
     body = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", upper, lower), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")), F.lit(" "))
     rows = rows.withColumn("body", F.when(F.col("open"), body)).drop("text")
     held = F.array_intersect(F.split("body", " "), F.array(*map(F.lit, words)))
+    bare = F.create_map(*[F.lit(x) for pair in JOINED.items() for x in pair])
+    held = F.array_distinct(F.transform(held, lambda w: F.coalesce(F.element_at(bare, w), w))) if gated else F.array(*map(F.lit, words))
     rows = rows.withColumn("held", held)
     tried = F.filter(rules, lambda r: F.size(F.array_except(r["k"], F.col("held"))) == 0)
     found = F.flatten(F.transform(tried, lambda r: F.transform(_starts(F.col("body"), r["x"]), lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("stop"), r["p"].alias("p"), r["label"].alias("label"), r["c"].alias("c")))))
