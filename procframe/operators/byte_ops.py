@@ -63,7 +63,7 @@ def sha256_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "byte_entropy": per_document("entropy double, n_bytes long", _minimum),
     "bpe_top_pair": per_document("a long, b long, n long", lambda data: top_pair(data) or (None, None, None)),
-    "codec_sizes": per_document("raw long, zlib long, lzma long", lambda data: (len(data), len(zlib.compress(data, 6)), len(lzma.compress(data, preset=1)))),
+    "codec_sizes": per_document("raw long, zlib long, lzma long", lambda data: (len(data), len(zlib.compress(data, 6)), len(lzma.compress(data, preset=6)))),
     "sha256_docs": sha256_docs,
 }
 _BYTES = "SELECT doc_id, generate_subscripts(b, 1) AS k, unnest(b) AS h FROM (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents)"
