@@ -1,142 +1,227 @@
-"""Models of series: sine, Fourier and polynomial fits, the choice among them, and residual and phrase codecs.
+"""Models of series: sine, Fourier and polynomial fits, the choice among them, and lossless forms, by packed series.
 
-Sine and polynomial fits need sums alone, so a series of any length is a partial aggregate; the grid of phases and the
-normal equations work on one row a series. Fourier fits and residual codecs take a whole series into one Python group.
+A series is packed into one row and modelled there in Arrow batches, as the transform needs it whole; straight lines,
+which need sums alone, are in `signals`. Queries model one signal for each user of `events`: where its kind says so the
+values are replaced by a sine, a chord, a cubic or a constant of the same length, so that every model is met.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import codecs
-from .byte_ops import per_document, top_pair
-from .signals import LINE, PI, SERIES, SQL as SIGNALS, query
-
-DEGREE, FOURIER_TERMS, FOURIER_ENERGY = 5, 20, 0.99
-
-_SINE = f"""
-    SELECT user_id, max(n) AS n, max(frequency) AS frequency, max(amplitude) AS amplitude, max(dc) AS dc, sum(c * c) AS yy, sum(c * sin(t)) AS ys, sum(c * cos(t)) AS yc,
-           sum(sin(t) * sin(t)) AS ss, sum(sin(t) * cos(t)) AS sc, sum(cos(t) * cos(t)) AS cc FROM (
-        SELECT s.user_id, s.n, z.frequency, a.amplitude, a.dc, s.value - a.dc AS c, 2 * {PI} * z.frequency * s.i / s.n AS t
-        FROM ({SERIES}) s JOIN ({SIGNALS['zero_crossing_freq']}) z ON s.user_id = z.user_id JOIN ({SIGNALS['amplitude_by_user']}) a ON s.user_id = a.user_id
-        WHERE s.n >= 4 AND a.amplitude > 1e-10) GROUP BY user_id"""
-_PHASES = f"""
-    SELECT user_id, n, frequency, amplitude, dc, yy, phase, round((yy - 2 * amplitude * (ys * cos(phase) + yc * sin(phase))
-           + amplitude * amplitude * (ss * cos(phase) * cos(phase) + 2 * sc * sin(phase) * cos(phase) + cc * sin(phase) * sin(phase))) / n, 6) AS mse
-    FROM ({_SINE}) CROSS JOIN (SELECT 2 * {PI} * i / 359 AS phase FROM ({{range}}))"""
-_BEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mse, phase) AS place FROM ({_PHASES})) WHERE place = 1"
-FIT_SINE = f"SELECT user_id, n, round(frequency, 6) AS frequency, amplitude, dc, round(phase, 6) AS phase, round(mse * n / yy, 4) AS error, 64 AS cost FROM ({_BEST}) WHERE yy > 0"
-SELECTION = f"""
-    SELECT user_id, CASE WHEN error < 0.01 AND ratio >= 1.5 THEN method ELSE 'lzma' END AS method, round(ratio, 6) AS ratio FROM (
-        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN error < 0.01 THEN 0 ELSE 1 END, ratio DESC, priority) AS place FROM (
-            SELECT user_id, 'sine' AS method, 1 AS priority, error, 4e0 * n / cost AS ratio FROM ({FIT_SINE})
-            UNION ALL SELECT user_id, 'polynomial' AS method, 3 AS priority, mse / var AS error, 4e0 * n / 48 AS ratio FROM ({LINE}))) WHERE place = 1"""
-#: Coefficients (index, magnitude, phase) of 512 samples, and what they add up to.
-FOURIER = f"""
-    SELECT i, round(0.5e0 + sum(CASE WHEN k > 0 AND k < 256 THEN 2 ELSE 1 END * mag / 512 * cos(2 * {PI} * k * i / 512 + phase)), 6) AS value
-    FROM ({{range}}) CROSS JOIN (SELECT 3 AS k, 384e0 AS mag, 0.2e0 AS phase UNION ALL SELECT 7, 204.8e0, 1e0 UNION ALL SELECT 256, 51.2e0, 0e0) GROUP BY i"""
-SUBBANDS = "SELECT l_returnflag, n, round(8e0 * greatest(1, ln(n / 1024e0)), 6) AS lll, round(4e0 * greatest(1, ln(n / 1024e0)), 6) AS low, round(2e0 * greatest(1, ln(n / 1024e0)), 6) AS mid, round(1.2e0 * greatest(1, ln(n / 1024e0)), 6) AS hhh FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag)"
-_SPARK, _DUCK = "SELECT id AS i FROM range({n})", "SELECT range AS i FROM range({n})"
-_SQL = {"fit_sine_by_user": (FIT_SINE, 360), "model_selection": (SELECTION, 360), "fourier_generate": (FOURIER, 512), "subband_ratio": (SUBBANDS, 1)}
-
-
-def solve(sums: dict[str, float], degree: int = DEGREE) -> tuple[list[float], float] | None:
-    """Coefficients, highest degree first, and normalised error of the polynomial of least error up to `degree`.
-
-    sums: x0, x1, ... of the powers of x, y0, y1, ... of these times y, and yy. None where no system can be solved.
-    """
-    n, best = sums["x0"], None
-    var = sums["yy"] / n - (sums["y0"] / n) ** 2
-    for d in range(1, min(degree, int(n) - 1) + 1):
-        a = np.array([[sums[f"x{i + j}"] for j in range(d + 1)] for i in range(d + 1)])
-        b = np.array([sums[f"y{i}"] for i in range(d + 1)])
-        try:
-            c = np.linalg.solve(a, b)
-        except np.linalg.LinAlgError:
-            break
-        mse = max(0.0, (sums["yy"] - 2 * c @ b + c @ a @ c) / n)
-        error = mse / var if var > 0 else mse
-        if best is None or error < best[1]:
-            best = (c[::-1].tolist(), float(error))
-        if best[1] < 1e-10:
-            break
-    return best
+from ..plans import compression
+from . import generators
+from .signals import _SERIES, Query, table, unit_position, user_series
 
+#: Degrees that the polynomial queries try.
+DEGREE = 3
 
-def fit_polynomial_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, coeffs, error, cost, from 2 DEGREE + 1 power sums and their products with the values."""
-    powers = [f"sum(pow(x, {k})) AS x{k}" for k in range(2 * DEGREE + 1)] + [f"sum(pow(x, {k}) * value) AS y{k}" for k in range(DEGREE + 1)]
-    sums = query(f"SELECT user_id, {', '.join(powers)}, sum(value * value) AS yy FROM ({SERIES}) GROUP BY user_id HAVING count(*) > 1")(spark, sf_dir)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(r["user_id"], found) for r in batch.to_pylist() if (found := solve(r))]
-            yield pa.record_batch([pa.array([u for u, _ in rows], pa.int64()), pa.array([f[0] for _, f in rows], pa.list_(pa.float64())), pa.array([f[1] for _, f in rows], pa.float64()), pa.array([8 * len(f[0]) + 32 for _, f in rows], pa.int32())], names=["user_id", "coeffs", "error", "cost"])
+def mixed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, pos, n, value): by series_id mod 5 a sine, two sines, a cubic, a constant, or the events' values."""
+    s = user_series(spark, sf_dir)
+    i, n, kind = F.col("pos"), F.col("n"), F.col("series_id") % 5
+    cycles, x = (F.col("series_id") % 7 + 1).cast("double"), unit_position(F.col("pos"), F.col("n"))
+    one = generators.sine_value(i, n, cycles, 2.0, 0.3, 1.5)
+    chord = generators.sine_value(i, n, cycles, 1.5) + generators.sine_value(i, n, cycles + 4, 0.8)
+    value = F.when(kind == 0, one).when(kind == 1, chord).when(kind == 2, generators.horner(x, [1, -2, 1, 0.1])).when(kind == 3, 3.25).otherwise(F.col("value"))
+    return s.select("series_id", "pos", "n", value.alias("value"))
+
+
+def packed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.pack_series(mixed_series(spark, sf_dir))
+
 
-    return sums.mapInArrow(run, "user_id long, coeffs array<double>, error double, cost int")
+def fit_sine_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compression.fit_series(packed_series(spark, sf_dir), "sine")
+    names = ["frequency", "amplitude", "phase", "dc_offset"]
+    return found.select(F.col("series_id").alias("user_id"), "n", *[F.round(F.col("coefficients")[k], 5).alias(name) for k, name in enumerate(names)], F.round("error", 5).alias("error"), "cost")
 
 
-def fourier(values: np.ndarray, terms: int = FOURIER_TERMS, energy: float = FOURIER_ENERGY) -> tuple[list[tuple[int, float, float]], float]:
-    """The strongest terms (index, magnitude, phase) until they hold over `energy`, and their normalised error."""
-    n, mean = len(values), values.mean()
-    spectrum = np.fft.fft(values - mean)
-    size = np.abs(spectrum[: n // 2])
-    order = np.argsort(-size, kind="stable")[:terms]
-    share = np.cumsum(size[order] ** 2) / max((size**2).sum(), 1e-300)
-    order = order[: int(np.searchsorted(share, energy, "right")) + 1]
-    order = order[size[order] >= 1e-10]
-    kept = np.zeros(n, complex)
-    kept[order] = spectrum[order]
-    mirrored = order[order > 0]
-    kept[n - mirrored] = np.conj(spectrum[mirrored])
-    mse = float(((values - mean - np.fft.ifft(kept).real) ** 2).mean())
-    var = float(values.var())
-    return [(int(k), float(size[k]), float(np.angle(spectrum[k]))) for k in order], mse / var if var > 1e-15 else mse
+def fit_fourier_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a term: its bin and magnitude, with the fit's number of terms, error and cost."""
+    found = compression.fit_series(packed_series(spark, sf_dir), "fourier")
+    terms = found.withColumn("terms", F.expr("(size(coefficients) - 1) div 3").cast("int"))
+    place = F.explode(F.sequence(F.lit(0), F.col("terms") - 1)).alias("place")
+    each = terms.select("*", place)
+    bin_, magnitude = F.get("coefficients", F.col("place") * 3).cast("long"), F.get("coefficients", F.col("place") * 3 + 1)
+    return each.select(F.col("series_id").alias("user_id"), "terms", bin_.alias("bin"), F.round(magnitude, 3).alias("magnitude"), F.round("error", 4).alias("error"), "cost")
 
 
-def _by_user(schema: str, f: Callable[[np.ndarray], dict | None]) -> Callable[[SparkSession, str], DataFrame]:
-    names = [x.split()[0] for x in schema.split(", ")]
+def fit_polynomial_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first degree up to DEGREE with an error below 0.01."""
+    found = compression.fit_series(packed_series(spark, sf_dir), "polynomial")
+    degree = F.size("coefficients") - 1
+    return found.where(degree <= DEGREE).select(F.col("series_id").alias("user_id"), degree.alias("degree"), F.round("error", 5).alias("error"), F.round(F.element_at("coefficients", -1), 4).alias("at_zero"), "cost")
+
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = f(rows.sort_values("i")["value"].to_numpy(float))
-        return pd.DataFrame([{"user_id": key[0], **found}] if found else [], columns=names)
+def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compression.fit_series(packed_series(spark, sf_dir))
+    return found.select(F.col("series_id").alias("user_id"), "n", "method", F.round("ratio", 5).alias("ratio"))
 
-    return lambda spark, sf_dir: query(SERIES)(spark, sf_dir).select("user_id", "i", "value").groupBy("user_id").applyInPandas(run, schema)
 
+def lossless_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of every series after modelling, packing and unpacking."""
+    back = compression.decompress_series(compression.compress_series(packed_series(spark, sf_dir)))
+    return compression.unpack_series(back).select(F.col("series_id").alias("user_id"), F.col("pos").cast("long").alias("i"), F.round("value", 6).alias("value"))
 
-def _fourier(values: np.ndarray) -> dict | None:
-    if len(values) < 8:
-        return None
-    terms, error = fourier(values)
-    return {"terms": len(terms), "error": round(error, 6), "cost": 20 * len(terms) + 40}
 
+def quantised_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each series comes back within one level of its residual's range, 8 and 16 bits."""
+    packed = packed_series(spark, sf_dir)
+    out = []
+    for bits in (8, 16):
+        c = compression.compress_series(packed, bits=bits)
+        back = compression.decompress_series(c).withColumnRenamed("values", "back")
+        step = (F.coalesce(F.col("high") - F.col("low"), F.lit(0.0)) / (2**bits - 1) + 1e-9).alias("step")
+        both = packed.join(back, "series_id").join(c.select("series_id", step), "series_id")
+        worst = F.array_max(F.zip_with("values", "back", lambda a, b: F.abs(a - b)))
+        out.append(both.select(F.col("series_id").alias("user_id"), F.lit(bits).alias("bits"), (worst <= F.col("step")).alias("close")))
+    return out[0].union(out[1])
 
-def _residual(values: np.ndarray) -> dict:
-    sizes = codecs.residual_sizes(values)
-    return {**sizes, "method": min(sizes, key=sizes.get)}
 
+def residual_method_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that each method takes for what the chosen model misses, and the least of them."""
+    schema = f"user_id long, model string, {', '.join(f'{m} int' for m in codecs.METHODS)}, method string"
 
-def _lz77(data: bytes) -> tuple:
-    tokens = codecs.lz77_encode(data)
-    return len(data), len(tokens), int(codecs.lz77_decode(tokens, len(data)) == data)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                values = np.array(r["values"], float)
+                fit = compression.fits.analyse(values)
+                sizes = codecs.residual_sizes(values - compression.fits.reconstruct(fit, len(values)))
+                rows.append((r["series_id"], fit.method, *sizes.values(), min(sizes, key=sizes.get)))
+            yield compression._batch(rows, schema)
 
+    return packed_series(spark, sf_dir).mapInArrow(run, schema)
 
-def _replaced(data: bytes) -> tuple:
-    found = top_pair(data)
-    return len(data), len(codecs.replace_pair(data, found[:2], 255)) if found else len(data)
 
+def subband_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as coefficients of eight sub-bands by order, through their codec: count, settings, and the farthest miss."""
+    bands = list(codecs.SUBBANDS)
+    names = F.array(*[F.lit(b) for b in bands])
+    rows = table(spark, sf_dir, "lineitem").select(F.element_at(names, (F.col("l_orderkey") % 8 + 1).cast("int")).alias("band"), (F.col("l_orderkey") / 512).cast("long").alias("block"), F.col("l_extendedprice").cast("int").alias("c"))
+    packed = rows.groupBy("band", "block").agg(F.collect_list("c").alias("c"))
+    schema = "band string, block long, n int, bits int, preset int, close boolean"
 
-QUERIES = {k: query(sql.replace("{range}", _SPARK.format(n=n))) for k, (sql, n) in _SQL.items()} | {
-    "fit_polynomial_by_user": fit_polynomial_by_user,
-    "fit_fourier_by_user": _by_user("user_id long, terms int, error double, cost int", _fourier),
-    "residual_method_by_user": _by_user("user_id long, none int, lzma int, zlib int, delta int, quantized int, method string", _residual),
-    "lz77_tokens": per_document("raw long, tokens long, exact long", _lz77),
-    "bpe_replace": per_document("raw long, replaced long", _replaced),
-    "phrase_dictionary": per_document("phrases long", lambda data: (len(codecs.recent_phrases(data.split(), 1024)),)),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                c = np.array(r["c"], np.int64)
+                bits, preset = codecs.subband_settings(r["band"])
+                missed = np.abs(codecs.decompress_subband(codecs.compress_subband(c, r["band"])) - c).max()
+                out.append((r["band"], r["block"], len(c), bits, preset, bool(missed <= np.ptp(c) / (2**bits - 1) + 1)))
+            yield compression._batch(out, schema)
+
+    return packed.mapInArrow(run, schema)
+
+
+def subband_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated ratios of the four tiers of sub-bands for as many coefficients as a flag has lines."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    grow = F.greatest(F.lit(1.0), F.log(F.col("n") / 1024.0))
+    tiers = {"lll": "LLL", "low": "LLH", "mid": "LHH", "hhh": "HHH"}
+    return n.select("l_returnflag", "n", *[F.round(grow * codecs.SUBBANDS[band][1], 6).alias(name) for name, band in tiers.items()])
+
+
+def total_estimate_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole size, ratio and shares for straight lines whose residual stays as it is."""
+    n = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = n.select("user_id", compression.total_estimate(F.col("n") * 4, F.lit(48), F.col("n")).alias("t"))
+    return whole.select("user_id", F.col("t.total").alias("total"), *[F.round(f"t.{c}", 6).alias(c) for c in ("ratio", "parameters_share", "residual_share")])
+
+
+def quality_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PSNR and one-window similarity of prices against 8-bit prices, on a scale of 255."""
+    from .signals import _lineitem, level, unlevel
+
+    rows = _lineitem(spark, sf_dir)
+    shade = (F.col("v") - F.col("lo")) / F.col("scale") * 255
+    coarse = (unlevel(level(F.col("v"), F.col("lo"), F.col("scale"), 8), F.col("lo"), F.col("scale"), 8) - F.col("lo")) / F.col("scale") * 255
+    stats = rows.select("l_returnflag", shade.alias("a"), coarse.alias("b")).groupBy("l_returnflag").agg(F.avg((F.col("a") - F.col("b")) ** 2).alias("mse"), compression.similarity("a", "b").alias("ssim"))
+    return stats.select("l_returnflag", F.round(compression.psnr(F.col("mse"), F.lit(255.0)), 3).alias("psnr"), F.round("ssim", 6).alias("ssim"))
+
+
+def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wins, mean ratios, best and worst series, of three made-up methods' ratios by user."""
+    base = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    ratio = {"a": F.col("n") * 4 / 64.0, "b": F.col("n") * 4 / (F.col("user_id") % 40 + 40.5), "c": F.lit(2.0)}
+    rows = [base.select(F.concat(F.lit("u"), F.col("user_id")).alias("dataset"), F.lit(m).alias("method"), F.round(r + F.col("user_id") / 1e7, 7).alias("ratio")) for m, r in ratio.items()]
+    found = compression.benchmark_summary(rows[0].union(rows[1]).union(rows[2]))
+    return found.select("kind", "method", "dataset", F.round("value", 5).alias("value"))
+
+
+FUNCTIONS = (fit_sine_by_user, fit_fourier_by_user, fit_polynomial_by_user, model_selection, lossless_roundtrip, quantised_roundtrip, residual_method_by_user, subband_roundtrip, subband_ratio, total_estimate_by_user, quality_by_flag, benchmark_report)
+QUERIES: dict[str, Query] = {f.__name__: f for f in FUNCTIONS}
+
+# The definitions once more, for another engine: transforms as sums over cosines, polynomials by orthogonal remainders.
+_MIXED = f"""
+    SELECT user_id, i, n, CASE user_id % 5 WHEN 0 THEN 1.5 + 2 * sin(2 * pi() * (user_id % 7 + 1) * i / n + 0.3)
+        WHEN 1 THEN 1.5 * sin(2 * pi() * (user_id % 7 + 1) * i / n) + 0.8 * sin(2 * pi() * (user_id % 7 + 5) * i / n)
+        WHEN 2 THEN x ** 3 - 2 * x * x + x + 0.1 WHEN 3 THEN 3.25 ELSE value END AS value, x
+    FROM (SELECT *, CASE WHEN n > 1 THEN i::DOUBLE / (n - 1) ELSE 0 END AS x FROM ({_SERIES}))"""
+_BASE = f"""
+    m AS MATERIALIZED ({_MIXED}),
+    s AS MATERIALIZED (SELECT user_id, any_value(n) AS n, avg(value) AS dc, (max(value) - min(value)) / 2 AS amp, var_pop(value) AS var FROM m GROUP BY user_id),
+    spec AS MATERIALIZED (
+        SELECT user_id, k, sqrt(sum(c * cos(a)) ** 2 + sum(c * sin(a)) ** 2) AS mag FROM (
+            SELECT m.user_id, k, value - dc AS c, 2 * pi() * ((k * i) % m.n) / m.n AS a FROM m JOIN s USING (user_id), (SELECT range AS k FROM range(1, 64)) WHERE k < m.n // 2)
+        GROUP BY user_id, k)"""
+_SINE = """
+    peak AS (SELECT user_id, arg_max(k, round(mag, 6) * 1000 - k * 1e-6) AS f FROM spec GROUP BY user_id),
+    grid AS (SELECT m.user_id, p, avg((value - dc - amp * sin(2 * pi() * f * i / m.n + p * pi() / 180)) ** 2) AS mse
+             FROM m JOIN s USING (user_id) JOIN peak USING (user_id), (SELECT range AS p FROM range(360)) WHERE m.n >= 4 AND amp >= 1e-10 GROUP BY m.user_id, p),
+    sine AS (SELECT user_id, min(mse) / any_value(var) AS error, arg_min(p, mse) AS p FROM grid JOIN s USING (user_id) GROUP BY user_id)"""
+_FOURIER = """
+    ranked AS (SELECT *, row_number() OVER w AS place, sum(mag * mag) OVER (w ROWS UNBOUNDED PRECEDING) AS got, sum(mag * mag) OVER (PARTITION BY user_id) AS every
+               FROM spec JOIN s USING (user_id) WHERE n >= 8 AND mag >= 1e-6 WINDOW w AS (PARTITION BY user_id ORDER BY round(mag, 6) DESC, k)),
+    terms AS (SELECT * FROM ranked WHERE place <= 20 AND (got - mag * mag) / every <= 0.99),
+    series AS (SELECT user_id, count(*) AS terms, 1 - 2 * max(got) / (any_value(n) ** 2 * any_value(var)) AS error FROM terms GROUP BY user_id)"""
+_POLYNOMIAL = """
+    o2 AS (SELECT m.*, x * x - (regr_intercept(x * x, x) OVER u + regr_slope(x * x, x) OVER u * x) AS e2, value - (regr_intercept(value, x) OVER u + regr_slope(value, x) OVER u * x) AS r1 FROM m WINDOW u AS (PARTITION BY user_id)),
+    o3 AS (SELECT *, r1 - e2 * sum(r1 * e2) OVER u / sum(e2 * e2) OVER u AS r2, x ** 3 - (regr_intercept(x ** 3, x) OVER u + regr_slope(x ** 3, x) OVER u * x) - e2 * sum(x ** 3 * e2) OVER u / sum(e2 * e2) OVER u AS e3 FROM o2 WINDOW u AS (PARTITION BY user_id)),
+    o4 AS (SELECT *, r2 - e3 * sum(r2 * e3) OVER u / sum(e3 * e3) OVER u AS r3 FROM o3 WINDOW u AS (PARTITION BY user_id)),
+    degrees AS (SELECT user_id, var, avg(r1 * r1) / var AS d1, avg(r2 * r2) / var AS d2, avg(r3 * r3) / var AS d3, max(CASE WHEN i = 0 THEN value - r1 END) AS z1, max(CASE WHEN i = 0 THEN value - r2 END) AS z2, max(CASE WHEN i = 0 THEN value - r3 END) AS z3
+                FROM o4 JOIN s USING (user_id) WHERE s.n > 1 GROUP BY user_id, var),
+    poly AS (SELECT user_id, CASE WHEN var < 1e-15 THEN 0 WHEN d1 < 0.01 THEN 1 WHEN d2 < 0.01 THEN 2 WHEN d3 < 0.01 THEN 3 END::INT AS degree,
+                    CASE WHEN var < 1e-15 THEN 0 WHEN d1 < 0.01 THEN d1 WHEN d2 < 0.01 THEN d2 ELSE d3 END AS error, CASE WHEN var < 1e-15 THEN 3.25 WHEN d1 < 0.01 THEN z1 WHEN d2 < 0.01 THEN z2 ELSE z3 END AS at_zero FROM degrees)"""
+ORACLES: dict[str, str] = {
+    "fit_sine_by_user": f"""WITH {_BASE}, {_SINE}
+        SELECT user_id, n::INT AS n, round(f::DOUBLE, 5) AS frequency, round(amp, 5) AS amplitude, round(p * pi() / 180, 5) AS phase, round(dc, 5) AS dc_offset, round(error, 5) AS error, 64::INT AS cost
+        FROM sine JOIN s USING (user_id) JOIN peak USING (user_id) WHERE error < 0.01""",
+    "fit_fourier_by_user": f"""WITH {_BASE}, {_FOURIER}
+        SELECT user_id, c.terms::INT AS terms, k AS bin, round(mag, 3) AS magnitude, round(abs(error), 4) AS error, (20 * c.terms + 40)::INT AS cost FROM terms JOIN series c USING (user_id) WHERE error < 0.01""",
+    "fit_polynomial_by_user": f"WITH {_BASE}, {_POLYNOMIAL} SELECT user_id, degree, round(abs(error), 5) AS error, round(at_zero, 4) AS at_zero, (8 * degree + 40)::INT AS cost FROM poly WHERE degree IS NOT NULL",
+    "model_selection": f"""WITH {_BASE}, {_SINE}, {_FOURIER}, {_POLYNOMIAL},
+        c AS (SELECT user_id, 1 AS o, 'sine' AS method, 64 AS cost FROM sine WHERE error < 0.01 UNION ALL SELECT user_id, 2, 'fourier', 20 * terms + 40 FROM series WHERE error < 0.01
+              UNION ALL SELECT user_id, 3, 'polynomial', 8 * degree + 40 FROM poly WHERE degree IS NOT NULL),
+        b AS (SELECT user_id, arg_min(method, cost * 10 + o) AS method, min(cost) AS cost FROM c GROUP BY user_id)
+        SELECT s.user_id, s.n::INT AS n, CASE WHEN 4.0 * s.n / cost >= 1.5 THEN method ELSE 'lzma' END AS method, CASE WHEN 4.0 * s.n / cost >= 1.5 THEN round(4.0::DOUBLE * s.n / cost, 5) END AS ratio FROM s LEFT JOIN b USING (user_id)""",
+    "lossless_roundtrip": f"SELECT user_id, i, round(value, 6) AS value FROM ({_MIXED})",
+    "quantised_roundtrip": "SELECT DISTINCT user_id, unnest([8, 16])::INT AS bits, true AS close FROM events",
+    "subband_roundtrip": """
+        SELECT band, block, count(*)::INT AS n, CASE WHEN strength <= 2 THEN 16 ELSE 8 END::INT AS bits, CASE strength WHEN 1 THEN 6 WHEN 2 THEN 5 WHEN 4 THEN 3 ELSE 1 END::INT AS preset, true AS close FROM (
+            SELECT ['LLL', 'LLH', 'LHL', 'HLL', 'LHH', 'HLH', 'HHL', 'HHH'][(l_orderkey % 8 + 1)::INT] AS band, l_orderkey // 512 AS block, [1, 2, 2, 2, 4, 4, 4, 8][(l_orderkey % 8 + 1)::INT] AS strength FROM lineitem
+        ) GROUP BY band, block, strength""",
+    "subband_ratio": "SELECT l_returnflag, n, round(8 * g, 6) AS lll, round(4 * g, 6) AS low, round(2 * g, 6) AS mid, round(1.2::DOUBLE * g, 6) AS hhh FROM (SELECT l_returnflag, count(*) AS n, greatest(1.0::DOUBLE, ln(count(*)) - ln(1024)) AS g FROM lineitem GROUP BY 1)",
+    "total_estimate_by_user": "SELECT user_id, n + 98 AS total, round(4.0::DOUBLE * n / (n + 98), 6) AS ratio, round(48.0::DOUBLE / (n + 98), 6) AS parameters_share, round(n::DOUBLE / (n + 98), 6) AS residual_share FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)",
+    "quality_by_flag": """
+        SELECT l_returnflag, round(20 * log10(255 / sqrt(avg((a - b) ** 2))), 3) AS psnr,
+               round((2 * avg(a) * avg(b) + 6.5025) * (2 * (avg(a * b) - avg(a) * avg(b)) + 58.5225) / ((avg(a) ** 2 + avg(b) ** 2 + 6.5025) * (var_pop(a) + var_pop(b) + 58.5225)), 6) AS ssim
+        FROM (SELECT l_returnflag, a, floor(a + 0.5) AS b FROM (SELECT l_returnflag, (l_extendedprice - min(l_extendedprice) OVER w) / (max(l_extendedprice) OVER w - min(l_extendedprice) OVER w) * 255 AS a FROM lineitem WINDOW w AS (PARTITION BY l_returnflag))) GROUP BY 1""",
+    "benchmark_report": """
+        WITH r AS (SELECT 'u' || user_id AS dataset, method, round(CASE method WHEN 'a' THEN n * 4 / 64.0::DOUBLE WHEN 'b' THEN n * 4 / (user_id % 40 + 40.5::DOUBLE) ELSE 2 END + user_id / 1e7, 7) AS ratio
+                   FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1), (SELECT unnest(['a', 'b', 'c']) AS method)),
+             b AS (SELECT dataset, arg_max(method, ratio) AS method, max(ratio) AS ratio FROM r GROUP BY 1)
+        SELECT 'wins' AS kind, method, NULL::VARCHAR AS dataset, count(*)::DOUBLE AS value FROM b GROUP BY method
+        UNION ALL SELECT 'mean_ratio', method, NULL, round(avg(ratio), 5) FROM r GROUP BY method
+        UNION ALL (SELECT 'best', method, dataset, round(ratio, 5) FROM b ORDER BY ratio DESC, dataset LIMIT 3) UNION ALL (SELECT 'worst', method, dataset, round(ratio, 5) FROM b ORDER BY ratio, dataset LIMIT 3)""",
 }
-ORACLES = {k: sql.replace("{range}", _DUCK.format(n=n)) for k, (sql, n) in _SQL.items()}
