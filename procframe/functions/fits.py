@@ -122,6 +122,9 @@ def fit_fourier(values: np.ndarray, terms: int = TERMS, energy: float = ENERGY)
     found, offset = fourier_terms(x, terms, energy)
     if not found:
         return None
+    held = sum(m * m * (2 if k > 0 else 1) for k, m, _ in found) / len(x) ** 2
+    if x.var() - held > 2 * MAX_ERROR * x.var() + 1e-6:  # by the energies, well past what is accepted
+        return None
     error = relative_error(x, fourier_series(len(x), found, offset))
     cost = TERM_COST * len(found) + OFFSET_COST + OVERHEAD
     return Fit("fourier", [*(v for term in found for v in map(float, term)), offset], error, cost) if error < MAX_ERROR else None
@@ -155,20 +158,29 @@ def fit_polynomial(values: np.ndarray, degree: int = DEGREE, threshold: float =
         return None
     if variant == "first" and y.var() < CONSTANT:
         return Fit("polynomial", [float(y.mean())], 0.0, COEFFICIENT_COST + OVERHEAD)
-    x, best = np.linspace(0, 1, n), None
-    for d in range(1, min(degree, n - 1) + 1):
-        coefficients = _least_squares(x, y, d) if variant == "first" else np.polyfit(x, y, d)
-        if coefficients is None:
-            continue
-        error = relative_error(y, np.polyval(coefficients, x))
-        found = Fit("polynomial", coefficients.tolist(), error, COEFFICIENT_COST * (d + 1) + OVERHEAD)
-        if variant == "first" and error < threshold:
-            return found
-        if variant == "best" and (best is None or error < best.error):
-            best = found
+    x, top = np.linspace(0, 1, n), min(degree, n - 1)
+    if variant == "best":
+        return _best_polynomial(x, y, top)
+    for d in range(1, top + 1):
+        coefficients = _least_squares(x, y, d)
+        if coefficients is not None and (error := relative_error(y, np.polyval(coefficients, x))) < threshold:
+            return Fit("polynomial", coefficients.tolist(), error, COEFFICIENT_COST * (d + 1) + OVERHEAD)
+    return None
+
+
+def _best_polynomial(x: np.ndarray, y: np.ndarray, top: int) -> Fit:
+    """The degree of least error up to `top`, the first below 1e-10 ending the search; one factorisation serves all degrees."""
+    powers = np.vander(x, top + 1, increasing=True)
+    q, r = np.linalg.qr(powers)
+    part, best, chosen = q.T @ y, np.inf, 1
+    for d in range(1, top + 1):
+        error = relative_error(y, q[:, : d + 1] @ part[: d + 1])
+        if error < best:
+            best, chosen = error, d
         if error < 1e-10:
             break
-    return best
+    found = np.linalg.solve(r[: chosen + 1, : chosen + 1], part[: chosen + 1])
+    return Fit("polynomial", found[::-1].tolist(), best, COEFFICIENT_COST * (chosen + 1) + OVERHEAD)
 
 
 def candidates(values: np.ndarray, variant: str = "peak") -> list[Fit]:
