@@ -2,44 +2,61 @@
 
 from __future__ import annotations
 
-import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; with texts of at most a few MB it bounds a Python worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: they bound a Python worker's memory, whatever the length of the texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Spark's own setting to drop the shuffle files of a query as it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder all executors share, spark.checkpoint.dir; without it there is none that a cluster could use."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='procframe-checkpoints-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    if place:
+        return place.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):  # one machine, as in tests: any folder is shared
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/procframe-checkpoints"
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session option for the queries within, and what it was after them."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there and survives lost executors."""
+    """Write df to the shared folder and read it again: lineage ends there and survives lost executors.
+
+    The shuffle files of the write go as it ends. The files stay, for the owner of the folder to clear.
+    """
     path = f"{shared_dir(df.sparkSession)}/procframe-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    release(df.sparkSession)
+    with setting(df.sparkSession, CLEAN, "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of queries that are done: it follows the driver's garbage collector."""
-    time.sleep(0.3)  # listeners hold a query until they have heard that it ended
-    spark.sparkContext._jvm.System.gc()
-
-
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that long texts don't pile up in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of few rows and bytes, so that long texts don't pile up in a Python worker.
+
+    The options stay set, as returned DataFrames run later.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(key).lower().removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,122 +1,163 @@
-"""Line deduplication by an exact set-similarity join, in DataFrame operations alone.
-
-A line is the set of its words. Lines of equal text are one class, placed at its first line (doc_id, line number). The
-words of a class are ordered by rarity (the rank of their cell in a table of SKETCH counts over all classes, then their
-hash); two sets of Jaccard similarity 0.8 or more share a word in their prefixes of n - ceil(0.8 n) + 1 words. Classes
-meet on those words, are held to the length and positional filters, to a 128-bit parity map (the sets differ in at least
-as many words as their maps differ in bits) and to the number of words their prefixes share, and the pairs left are
-verified on the words of the lines themselves.
-A line goes if an earlier line is similar to it, whether or not that one stays.
-
-One earlier line is enough, so each class first meets only the earliest classes (PARTS at most) under each of FEW words
-of its prefix. Classes found gone there need no further look; the others meet all classes. Members of a large group of
-similar lines mostly go in the first round, and so aren't compared with each other.
-
-Null texts count as empty. Lines without words stay. Rows that share an id count as one document in the order of lines;
-extra columns pass through. An empty table stays empty.
+"""Line deduplication by an exact set-similarity join.
+
+A line is the set of its words (parts between the six ASCII blanks). Lines of equal text are one class, placed at its first
+line. The words of a class are ordered by rarity: the rank of their cell in a table of CELLS counts over all lines of the
+corpus, then their hash. Two sets of Jaccard similarity 0.8 or more share a word in their prefixes of
+n - ceil(0.8 n) + 1 words. Classes meet on those words, are held to the length and positional filters, to a 128-bit parity
+map (the sets differ in at least as many words as their maps differ in bits) and to the number of words their prefixes
+share, and the pairs left are verified on the words of the lines themselves. A line goes if an earlier line is similar to
+it, whether or not that one stays.
+
+One earlier line is enough. In a large group of similar lines many share one of the FEW words that a hash picks from each
+prefix; where more than HOT classes do, each first meets the earliest classes (PARTS at most) under that word. Classes found
+gone there need no further look; the others meet all classes, so a large group isn't compared pair by pair.
+
+Counting words and coding lines run in Arrow batches, as expressions over arrays of words took twice the CPU (figures in the
+README); classes, the join, its filters and verification are DataFrame operations.
+
+Null texts count as empty. Lines without words stay. Order is by doc_id (null first), then by a hash of the text among rows
+that share an id, then by line; of rows with equal id and text one keeps the lines that stay, the others lose every line with
+words. Extra columns pass through, but an input column n_lines or n_removed gives way to the result's. An empty table stays
+empty. Lines are told apart by 96 bits of two hashes.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release, shared_dir, shuffle_partitions
+from .common import bounded_batches, materialise, small
 
-SKETCH = 1 << 16
-#: Words of a class, and earliest classes under each, that the first round looks at.
-FEW, PARTS = 3, 8
+#: Cells of the table of counts: 256 KB to each task, whatever the corpus.
+CELLS = 1 << 18
+#: Words of a class by which hot groups are found, classes that make one, and earliest classes that each then meets.
+FEW, HOT, PARTS = 3, 64, 8
 #: The id that stands for null.
 NULL = -(2**63)
-#: Lines of a document at most; a place is doc_id * LINES + line number.
-LINES = 1 << 32
+#: Hot words, or ids of lines to verify, up to which their list is broadcast; beyond, a shuffled join.
+BROADCAST = 1 << 20
+SEED = 42
 
 
-def _doc() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL))
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    each = docs.select(_doc().alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
-    place = F.col("doc").cast("decimal(20,0)") * F.lit(LINES).cast("decimal(11,0)") + F.col("no")
-    return each.where(F.col("line").rlike("[^ \\t\\x0B\\f\\r]")).select(place.cast("decimal(38,0)").alias("at"), "line")
+def _keys() -> list[Column]:
+    """A row's place in the order: id, then a hash of its text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("doc"), F.xxhash64(_text()).alias("tag")]
 
 
-def _place_doc() -> Column:
-    return F.floor(F.col("at") / F.lit(LINES).cast("decimal(11,0)")).cast("long")
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc, tag, no, line, id, id2) of every line with words."""
+    each = docs.select(*_keys(), F.posexplode(F.split(_text(), "\n")).alias("no", "line"))
+    return each.where(F.col("line").rlike("[^ \\t\\x0B\\f\\r]")).select("*", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
+
+
+def _hashed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its place among the distinct ones, and the hashes of these."""
+    coded = words.dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    return coded.indices.to_numpy(), np.fromiter((digest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n): how many words of the texts fall into each cell."""
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(batch.column(0))).flatten()
+        at, hashes = _hashed(words.filter(pc.not_equal(words, "")))
+        np.add.at(counts, (hashes % np.uint64(CELLS)).astype(np.int64), np.bincount(at, minlength=len(hashes)))
+    cells = np.flatnonzero(counts)
+    yield pa.record_batch([pa.array(cells.astype(np.int32)), pa.array(counts[cells])], names=["cell", "n"])
+
+
+def _ranks(docs: DataFrame) -> np.ndarray:
+    """For each cell its place in the order of counts, the least first."""
+    cells = docs.select(_text().alias("text")).mapInArrow(_counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found, counts = cells.toArrow(), np.zeros(CELLS, np.int64)  # CELLS rows at most, whatever the corpus
+    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    ranks = np.empty(CELLS, np.uint32)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint32)
+    return ranks
+
+
+CODED = "doc long, tag long, no int, id long, id2 int, n int, map long, map2 long, prefix array<int>, few array<int>"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
+def _coded(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Lines as CODED rows: number of words, parity maps, prefix in order of rarity, and FEW of its words by another hash."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(batch.column(5)))
+        at, hashes = _hashed(lists.flatten())
+        # distinct words in order of rarity: a word's place among them stands for it within the batch
+        order = np.lexsort((hashes, ranks[(hashes % np.uint64(CELLS)).astype(np.int64)]))
+        hashes, place = hashes[order], np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pairs = np.sort((pc.list_parent_indices(lists).to_numpy().astype(np.int64) << 32) | place[at])
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+        line, word = pairs >> 32, pairs & 0xFFFFFFFF
+        n = np.bincount(line, minlength=batch.num_rows)
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        bits = (hashes >> np.uint64(32)) & np.uint64(127)
+        one = np.uint64(1) << (bits & np.uint64(63))
+        low, high = np.where(bits < 64, one, np.uint64(0)), np.where(bits >= 64, one, np.uint64(0))
+        maps = [np.bitwise_xor.reduceat(half[word], starts).view(np.int64) for half in (low, high)]
+        length = n - (4 * n + 4) // 5 + 1
+        front = np.arange(len(line)) - starts[line] < length[line]
+        codes = _mixed(hashes).view(np.int64).astype(np.int32)
+        picked = np.sort((line[front] << 32) | (_mixed(hashes ^ np.uint64(SEED))[word[front]] >> np.uint64(32)).astype(np.int64))
+        few = np.minimum(length, FEW)
+        first = np.arange(len(picked)) - np.repeat(np.cumsum(length) - length, length) < FEW
+        yield pa.record_batch(
+            [*batch.columns[:5], pa.array(n.astype(np.int32)), *map(pa.array, maps), _lists(codes[word[front]], length), _lists((picked[first] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), few)],
+            names=[x.split()[0] for x in CODED.split(", ")],
+        )
 
 
-def _split(line: Column) -> Column:
-    """Words of a line, and empty ones."""
-    return F.split(F.when(line.rlike("[\\t\\x0B\\f\\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line), " ")
+def _classes(docs: DataFrame) -> DataFrame:
+    """(id, id2, at, n, map, map2, prefix, few): each line text once, with its first place (doc, tag, no)."""
+    bounded_batches(docs.sparkSession)
+    ranks = _ranks(docs)
+    coded = _lines(docs).select("doc", "tag", "no", "id", "id2", "line").mapInArrow(lambda batches: _coded(batches, ranks), CODED)
+    same = [F.first(c).alias(c) for c in ("n", "map", "map2", "prefix", "few")]
+    return materialise(coded.groupBy("id", "id2").agg(F.min(F.struct("doc", "tag", "no")).alias("at"), *same), "classes")
 
 
 def _words(line: Column) -> Column:
-    """Words of a line, once each."""
-    return F.array_remove(F.array_distinct(_split(line)), "")
-
-
-def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
-    """materialise() for a table in buckets of its column id, which later joins on it need not shuffle."""
-    spark, table = df.sparkSession, f"procframe_{name}_{uuid.uuid4().hex}"
-    written = df.write.format("parquet").option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd")
-    written.bucketBy(buckets, "id").saveAsTable(table)
-    release(spark)
-    return spark.table(table)
+    return F.array_remove(F.array_distinct(F.split(F.translate(line, "\t\x0b\f\r", "    "), " ")), "")
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """(id, line, at): each line text once, with a hash of it and its first place, bucketed by the hash."""
-    buckets = shuffle_partitions(docs.sparkSession)
-    found = _lines(docs).withColumn("id", F.xxhash64("line")).groupBy("id", "line").agg(F.min("at").alias("at"))
-    return _bucketed(found.repartition(buckets, "id"), "lines", buckets)
-
-
-def _ranks(classes: DataFrame) -> Column:
-    """For each cell of words its rank by their count, in the high bits of a long, as one literal array."""
-    words = classes.select(F.explode(_split(F.col("line"))).alias("w")).where("w <> ''")
-    cells = words.groupBy(F.xxhash64("w").bitwiseAND(SKETCH - 1).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    counts = [0] * SKETCH
-    for r in cells.collect():  # SKETCH cells whatever the corpus
-        counts[r.cell] = r.n
-    ranks = [0] * SKETCH
-    for rank, cell in enumerate(sorted(range(SKETCH), key=lambda c: (counts[c], c))):
-        ranks[cell] = (rank - SKETCH // 2) << 48
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
-
-
-def _prefixes(classes: DataFrame) -> DataFrame:
-    """(id, at, doc, n, map, map2, prefix) of each class, bucketed as classes are."""
-    ranks, one = _ranks(classes), F.lit(1).cast("long")
-    hashes = F.array_distinct(F.transform(F.array_remove(_split(F.col("line")), ""), lambda w: F.xxhash64(w)))
-    # the rank stands for the hash's low 16 bits: a code names its hash
-    codes = F.sort_array(F.transform(hashes, lambda h: F.shiftrightunsigned(h, 16).bitwiseOR(F.get(ranks, h.bitwiseAND(SKETCH - 1).cast("int")))))
-    # exploded from an array of one, so that map and prefix don't compute the codes again
-    sets = classes.select("id", "at", _place_doc().alias("doc"), F.explode(F.array(codes)).alias("s")).withColumn("n", F.size("s"))
-
-    def parity(half: Column) -> Column:
-        """XOR of a bit for each code x: bit x % 64, for the half of them that `half` names by bit 6."""
-        bit = lambda x: F.call_function("shiftleft", F.shiftright(x.bitwiseXOR(half), 6).bitwiseAND(one), x.bitwiseAND(63).cast("int"))
-        return F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
-
-    maps = parity(F.lit(0).cast("long")).alias("map"), parity(F.lit(64).cast("long")).alias("map2")
-    found = sets.select("id", "at", "doc", "n", *maps, F.expr("slice(s, 1, n - cast(ceil(0.8 * n) as int) + 1)").alias("prefix"))
-    return _bucketed(found, "prefixes", shuffle_partitions(classes.sparkSession))
-
-
-def _later(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, at): the later class of each pair (x, y) of ids that is similar. `pairs` must be written already."""
+def _later(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, id2): the later class of each pair (x, y) of ids that is similar. `pairs` must be written already."""
     ids = materialise(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "ids")
-    # Spark knows the size of ids; where it is over its bound for a broadcast, the buckets are joined
-    lines = materialise(classes.join(ids, "id", "left_semi"), "lines")
-    x, y = (lines.select(F.col("id").alias(k), F.col("line").alias(f"{k}_line"), F.col("at").alias(f"{k}_at")) for k in "xy")
+    ids = small(ids, ids.count(), BROADCAST)
+    texts = _lines(docs).join(ids, "id", "left_semi").groupBy("id", "id2").agg(F.min("line").alias("line"))
+    placed = classes.select("id", "id2", "at").join(ids, "id", "left_semi")
+    lines = materialise(texts.join(placed, ["id", "id2"]), "lines")
+    x, y = (lines.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("id2", "line", "at")]) for k in "xy")
     words = F.explode(F.array(F.struct(_words(F.col("x_line")).alias("x"), _words(F.col("y_line")).alias("y"))))  # split once
-    both = pairs.join(x, "x").join(y, "y").select("x", "y", "x_at", "y_at", words.alias("words"))
+    both = pairs.join(x, "x").join(y, "y").select("x", "x_id2", "x_at", "y", "y_id2", "y_at", words.alias("words"))
     similar = both.where(9 * F.size(F.array_intersect("words.x", "words.y")) >= 4 * (F.size("words.x") + F.size("words.y")))
     first = F.col("x_at") < F.col("y_at")
-    return similar.select(F.when(first, F.col("y")).otherwise(F.col("x")).alias("id"), F.greatest("x_at", "y_at").alias("at")).distinct()
+    return similar.select(F.when(first, F.col("y")).otherwise(F.col("x")).alias("id"), F.when(first, F.col("y_id2")).otherwise(F.col("x_id2")).alias("id2")).distinct()
 
 
 def _near(a: str, b: str) -> str:
@@ -124,27 +165,29 @@ def _near(a: str, b: str) -> str:
     return f"5 * {a}.n >= 4 * {b}.n AND 5 * {b}.n >= 4 * {a}.n AND 9 * (bit_count({a}.map ^ {b}.map) + bit_count({a}.map2 ^ {b}.map2)) <= {a}.n + {b}.n"
 
 
-def _first_round(prefixes: DataFrame) -> DataFrame:
-    """(x, y): each class y with the earliest classes x under FEW words of its prefix, past the filters."""
-    few = F.slice(F.sort_array(F.transform("prefix", lambda w: F.xxhash64(w))), 1, FEW)  # similar sets mostly choose alike
-    keyed = prefixes.select("id", "doc", "n", "map", "map2", F.explode(few).alias("key"))
-    hubs = keyed.groupBy("key", F.pmod("id", F.lit(PARTS)).alias("part")).agg(F.min(F.struct("doc", "id", "n", "map", "map2")).alias("hub"))
-    hubs = hubs.select("key", "hub.*").alias("a")
-    return keyed.alias("b").join(hubs, F.expr(f"a.key = b.key AND a.id <> b.id AND a.doc <= b.doc AND {_near('a', 'b')}")).selectExpr("a.id AS x", "b.id AS y").distinct()
+def _hot_round(classes: DataFrame) -> DataFrame:
+    """(x, y): under words that over HOT classes pick, each class y with the earliest classes x, past the filters."""
+    keyed = classes.select("id", "at", "n", "map", "map2", F.explode("few").alias("key"))
+    hot = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > HOT).select("key"), "hot")
+    keyed = materialise(keyed.join(small(hot, hot.count(), BROADCAST), "key", "left_semi"), "keyed")
+    hubs = keyed.groupBy("key", F.pmod("id", F.lit(PARTS)).alias("part")).agg(F.min(F.struct("at", "id", "n", "map", "map2")).alias("hub"))
+    hubs = hubs.select("key", "hub.*")
+    hubs = small(hubs, hot.count() * PARTS, BROADCAST).alias("a")
+    return keyed.alias("b").join(hubs, F.expr(f"a.key = b.key AND a.id <> b.id AND a.at < b.at AND {_near('a', 'b')}")).selectExpr("a.id AS x", "b.id AS y").distinct()
 
 
-def _rest(prefixes: DataFrame) -> DataFrame:
+def _rest(classes: DataFrame) -> DataFrame:
     """(x, y): every two classes of which one is still open that share a word of their prefixes and pass the filters."""
-    # a word's code and place only select candidates, so 32 bits of the code do; n and p share a long, below 0 for the closed
-    each = prefixes.select("id", "map", "map2", "n", "open", F.posexplode("prefix").alias("p", "code"))
+    each = classes.select("id", "map", "map2", "n", "open", F.posexplode("prefix").alias("p", "w"))
+    # n and p share a long, below 0 for the closed
     at = F.shiftleft(F.col("n").cast("long"), 31) + F.col("p")
-    posted = each.select("id", "map", "map2", F.hash("code").alias("w"), F.when(F.col("open"), at).otherwise(-at).alias("np"))
+    posted = each.select("id", "map", "map2", "w", F.when(F.col("open"), at).otherwise(-at).alias("np"))
     a, b = posted.alias("a"), posted.alias("b")
     # the whole condition looks at both sides, so that both read one exchange
     an, bn, ap, bp = "shiftright(abs(a.np), 31)", "shiftright(abs(b.np), 31)", "(abs(a.np) & 2147483647)", "(abs(b.np) & 2147483647)"
     same = F.expr(f"""
         a.w = b.w AND b.np > CASE WHEN a.id < b.id OR (a.np < 0 AND a.id <> b.id) THEN 0 ELSE {2**63 - 1} END
-        AND 9 * (bit_count(a.map ^ b.map) + bit_count(a.map2 ^ b.map2)) <= {an} + {bn} AND 5 * {an} >= 4 * {bn} AND 5 * {bn} >= 4 * {an}""")
+        AND 5 * {an} >= 4 * {bn} AND 5 * {bn} >= 4 * {an} AND 9 * (bit_count(a.map ^ b.map) + bit_count(a.map2 ^ b.map2)) <= {an} + {bn}""")
     least = F.expr(f"(4 * ({an} + {bn}) + 8) div 9")  # words that similar sets share
     # the set whose prefix ends on the rarer word has all shared words in both prefixes, or behind its own
     behind = F.expr(f"(4 * greatest({an}, {bn}) + 4) div 5 - 1")
@@ -153,32 +196,30 @@ def _rest(prefixes: DataFrame) -> DataFrame:
     return shared.where("left >= least AND n + behind >= least").select("x", "y")
 
 
-def _by_id(gone: DataFrame) -> DataFrame:
-    """gone for a join on id alone, the key of the buckets; two lines of one hash are told apart by their places."""
-    return gone.groupBy("id").agg(F.collect_set("at").alias("places"))
-
-
-def _open() -> Column:
-    return ~F.coalesce(F.array_contains("places", F.col("at")), F.lit(False))
-
-
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """(doc, no): the lines with words that stay."""
+    """(doc, tag, no): the lines with words that stay."""
     classes = _classes(docs)
-    prefixes = _prefixes(classes)
-    gone = materialise(_later(materialise(_first_round(prefixes), "first"), classes), "gone")
-    marked = prefixes.join(_by_id(gone), "id", "left").withColumn("open", _open())
+    pairs = materialise(_hot_round(classes), "hot_pairs")
+    gone = materialise(_later(pairs, docs, classes), "hot_gone")
+    marked = classes.join(gone.withColumn("gone", F.lit(True)), ["id", "id2"], "left").withColumn("open", F.col("gone").isNull())
     pairs = materialise(_rest(marked), "pairs")
-    gone = materialise(gone.union(_later(pairs, classes)), "all_gone")
-    stay = classes.select("id", "at").join(_by_id(gone), "id", "left").where(_open())
-    return stay.select(_place_doc().alias("doc"), F.pmod("at", F.lit(LINES).cast("decimal(11,0)")).cast("int").alias("no"))
+    gone = materialise(gone.union(_later(pairs, docs, classes)), "gone")
+    return classes.select("id", "id2", "at").join(gone, ["id", "id2"], "left_anti").select("at.*")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text rebuilt from the lines that stay, and n_lines and n_removed."""
-    kept = materialise(kept_lines(docs).groupBy("doc").agg(F.collect_set("no").alias("__kept")), "kept")
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    joined = docs.withColumn("__doc", _doc()).join(kept, F.col("__doc") == F.col("doc"), "left").withColumn("__lines", split)
-    stays = F.filter("__lines", lambda line, i: ~line.rlike("[^ \\t\\x0B\\f\\r]") | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
-    out = joined.withColumn("text", F.array_join(stays, "\n")).withColumn("n_lines", F.size("__lines")).withColumn("n_removed", F.col("n_lines") - F.size(stays))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    # a document's kept lines as 64 to a word of bits
+    bits = kept_lines(docs).groupBy("doc", "tag", F.shiftright("no", 6).alias("part")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("no").bitwiseAND(63))).alias("bits"))
+    kept = materialise(bits.groupBy("doc", "tag").agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("kept")), "kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_keys(), _text().alias("text"))
+    joined = rows.join(kept, ["doc", "tag"], "left")
+    if not rows.groupBy("doc", "tag").count().where("count > 1").isEmpty():  # of equal rows the first keeps its lines
+        ordinal = F.row_number().over(Window.partitionBy("doc", "tag").orderBy(F.lit(1)))
+        joined = joined.withColumn("kept", F.when(ordinal == 1, F.col("kept")))
+    joined = joined.select("row", "kept", F.split("text", "\n").alias("lines"))
+    held = lambda i: F.coalesce(F.getbit(F.element_at("kept", F.shiftright(i, 6)), i.bitwiseAND(63)) == 1, F.lit(False))
+    stays = F.filter("lines", lambda line, i: held(i) | ~line.rlike("[^ \\t\\x0B\\f\\r]"))
+    out = joined.select("row", F.size("lines").alias("n_lines"), stays.alias("stays"))
+    own = [F.array_join("stays", "\n").alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return out.select(*own, "n_lines", (F.col("n_lines") - F.size("stays")).alias("n_removed"))
