@@ -55,7 +55,7 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revisits.resolve(revisits.captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return revisits.described(revisits.resolve(revisits.captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_shardi
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL: dict[str, str] = {
+    "op9_revisits": revisits.SQL,
     "op1_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body, length(coalesce(text, '')) AS n FROM documents

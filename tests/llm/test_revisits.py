@@ -33,7 +33,38 @@ def test_no_validator_on_either_side_is_no_agreement(spark):
     assert (got[2].source_id, got[2].resolved, got[2].headers) == (None, False, None)
 
 
-def test_the_query_resolves_all_revisits_with_the_headers_of_their_page(spark):
-    pages = spark.createDataFrame([(i, f"http://a.example/{i}", "é" * i) for i in range(40)], "page_id long, url string, html string")
+def test_nulls_ties_and_repeats(spark):
+    rows = [
+        (1, "a.example", None, False, "e", 1, 200, None, None), (2, "a.example", 5, True, "e", 2, 304, None, None), (3, "a.example", None, True, "e", 3, 304, None, None),
+        (4, "b.example", 7, None, "e", 4, 200, None, None), (5, "b.example", 7, True, "e", 5, 304, None, None), (5, "b.example", 7, True, "e", 5, 304, None, None), (None, "b.example", 7, True, "e", 6, 304, None, None),
+    ]
+    got = sorted((-1 if r.record_id is None else r.record_id, r.revisit, r.source_id, r.resolved) for r in revisits.resolve(spark.createDataFrame(rows, RECORDS)).collect())
+    assert got == [(-1, True, None, False), (1, False, None, True), (2, True, None, False), (3, True, None, False), (4, False, None, True), (5, True, 4, True), (5, True, 4, True)]
+
+
+def test_the_latest_earlier_response_by_brute_force(spark):
+    """A hot URL over many blocks of time, by a walk through its records."""
+    import random
+
+    pick = random.Random(4)
+    rows = [(i, pick.choice(["http://hot.example/", "hot.example", "x.example/a"]), pick.randrange(40_000), pick.random() < 0.7, pick.choice(["a", "b", None]), i, 200, pick.choice(["d", None]), None) for i in range(300)]
+    want, last = {}, {}
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        place = r[1].removeprefix("http://").rstrip("/")
+        if not r[3]:
+            want[r[0]], last[place] = None, r
+            continue
+        s = last.get(place)
+        known = [(x, y) for x, y in ((r[4], s[4]), (r[7], s[7])) if x is not None and y is not None] if s else []
+        want[r[0]] = s[0] if known and all(x == y for x, y in known) else None
+    got = resolved(spark, rows)
+    assert {i: got[i].source_id for i in got} == want
+
+
+def test_the_query_meets_every_outcome(spark):
+    pages = spark.createDataFrame([(i, f"http://{'hot' if i % 3 else 'b'}.example/{i}", "é" * i) for i in range(400)], "page_id long, url string, html string")
     got = [r for r in revisits.resolve(revisits.captures(pages)).collect() if r.revisit]
-    assert got and all(r.source_id == r.record_id - 1 and r.status == 200 and r.headers["content-length"] == str(r.record_id // 2 * 2) for r in got)
+    own = [r for r in got if r.source_id == r.record_id // 4 * 4]
+    others = [r for r in got if r.source_id is not None and r.source_id != r.record_id // 4 * 4]
+    assert len(own) > 100 and [r for r in got if not r.resolved] and all(r.status == 200 for r in own + others)
+    assert all(r.headers["content-length"] == str(r.source_id // 2) for r in own + others)
