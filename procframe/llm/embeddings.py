@@ -1,12 +1,19 @@
 """Embedding near-duplicates by iterative quantisation.
 
-A rotation fitted on a bounded sample (SAMPLE vectors) makes the signs of the rotated components a balanced 64-bit code.
-Codes are cut into four segments of 16 bits and indexed with one bit left out at a time, so two codes that differ by at
-most 7 bits share a key with the label. Pairs that share one and differ by at most NEAR bits are reranked by cosine in
-double precision. Every usable vector is indexed; equal vectors of a label are indexed once and counted.
+Directions around their mean are rotated so that the signs of the components make a balanced code: each of TURNS rotations
+is fitted by iterative quantisation from another start, on a bounded sample (SAMPLE vectors of one length). A code is cut
+into SEGMENTS segments whose width follows the logarithm of the label's number of vectors, so that a key holds about as
+many vectors whatever the size. Codes are indexed under each segment with one bit left out at a time: two vectors share a
+key where a segment of theirs differs by one bit at most. Pairs that share one, and differ in less than FAR of all bits, are
+reranked by cosine in double precision on the original vectors. The centre serves the code alone.
 
-Vectors that are null, zero, of another length than the commonest, or hold null or non-finite components, and vectors
-without a label, link with nothing and form components of their own. Empty tables give empty results.
+Every usable vector is indexed: vectors of other lengths than the sample's commonest take random directions of their length,
+uncentred. Equal vectors of a label are one node, counted by its size. Recall against brute force is in the tests.
+
+Vectors that are null, empty, zero, or hold null or non-finite components, and vectors without a label, link with nothing
+and are components of their own; so does no vector with one of another length. Vectors are scaled by their largest component
+first, so that no finite vector overflows. Repeated rows each count; rows without an id have no place in the order. Extra
+columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,24 +27,63 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, materialise
 
-SAMPLE, BITS, SEGMENTS, NEAR, ROUNDS = 20_000, 64, 4, 16, 30
+SAMPLE, ROUNDS, TURNS = 20_000, 30, 2
+SEGMENTS, NARROW, WIDE = 6, 6, 20
+#: Share of differing bits from which a pair isn't reranked.
+FAR = 0.3
+
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
-def rotation(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> np.ndarray:
-    """Projection to `bits` components by iterative quantisation; not centred, so a small angle keeps few bits apart."""
-    x = sample
-    basis = np.linalg.svd(x, full_matrices=False)[2][:bits].T
+
+def rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Projection of centred vectors to `bits` components by iterative quantisation."""
+    start = np.random.default_rng(seed)
+    basis = np.linalg.svd(sample, full_matrices=False)[2][:bits].T
     if basis.shape[1] < bits:  # fewer components than bits: more directions at random
-        more = np.random.default_rng(0).normal(size=(x.shape[1], bits - basis.shape[1]))
+        more = start.normal(size=(sample.shape[1], bits - basis.shape[1]))
         basis = np.concatenate([basis, more / np.linalg.norm(more, axis=0)], axis=1)
-    v = x @ basis
-    r = np.linalg.qr(np.random.default_rng(1).normal(size=(bits, bits)))[0]
+    v = sample @ basis
+    r = np.linalg.qr(start.normal(size=(bits, bits)))[0]
     for _ in range(rounds):
         a, _, b = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
         r = (a @ b).T
     return basis @ r
 
 
+class Coder:
+    """Codes and keys of unit vectors."""
+
+    def __init__(self, sample: np.ndarray):
+        self.width = sample.shape[1] if len(sample) else 0
+        self.bits = SEGMENTS * WIDE
+        self.centre = sample.mean(axis=0) if len(sample) else np.zeros(0)
+        each = -(-self.bits // TURNS)
+        self.project = np.concatenate([rotation(sample - self.centre, each, turn) for turn in range(TURNS)], axis=1)[:, : self.bits] if len(sample) else None
+        # bits of all rotations take turns, so that each segment mixes them
+        if self.project is not None:
+            self.project = self.project[:, np.argsort(np.arange(self.bits) % each, kind="stable")]
+
+    def signs(self, vectors: np.ndarray) -> np.ndarray:
+        if vectors.shape[1] == self.width:
+            return (vectors - self.centre) @ self.project >= 0
+        return vectors @ np.random.default_rng(vectors.shape[1]).normal(size=(vectors.shape[1], self.bits)) >= 0
+
+
+def segment_width(held: np.ndarray) -> np.ndarray:
+    return np.clip(np.ceil(np.log2(np.maximum(held, 2))).astype(int), NARROW, WIDE)
+
+
+def keys(signs: np.ndarray, width: int) -> np.ndarray:
+    """Keys of each row: of SEGMENTS segments of `width` bits each one with each of its bits left out."""
+    parts = signs[:, : SEGMENTS * width].reshape(-1, SEGMENTS, width).astype(np.int64) @ (1 << np.arange(width))
+    left = np.arange(width)
+    name = (np.arange(SEGMENTS)[:, None] * 64 + left) << WIDE
+    return ((parts[:, :, None] & ~(1 << left)) | name[None]).reshape(len(signs), -1)
+
+
 def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
     spark = rows.sparkSession
@@ -53,37 +99,44 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     share = min(1.0, SAMPLE / total)
     sample = groups.where(F.pmod(F.xxhash64(F.lit("rotation"), "node"), F.lit(1_000_000)) <= int(share * 1_000_000)).select("v").toPandas()["v"]
-    width = int(np.bincount([len(x) for x in sample]).argmax())
-    unit = np.array([x for x in sample if len(x) == width], float)
-    project = rotation(unit / np.linalg.norm(unit, axis=1, keepdims=True))
+    width = int(np.bincount([len(x) for x in sample]).argmax()) if len(sample) else 0
+    coder = Coder(unit(np.array([x for x in sample if len(x) == width], float).reshape(-1, width)))
+    held = groups.groupBy("label", F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("held"))
+    sized = groups.withColumn("length", F.size("v")).join(held, ["label", "length"])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(2).to_pylist(), float).reshape(-1, width)
-            bits = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ project >= 0
-            codes = np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(codes)], names=["node", "label", "code"])
-
-    usable = groups.where(F.size("v") == width)
-    codes = materialise(usable.select("node", "label", "v").mapInArrow(code, f"node long, label {dict(groups.dtypes)['label']}, code long"), "codes")
-    keys = codes.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-    segment = F.expr("shiftrightunsigned(code, 16 * (i div 16)) & 65535 & ~shiftleft(1L, i % 16)")
-    keys = keys.select("node", "label", "code", (F.shiftleft(F.col("i").cast("long"), 16) + segment).alias("key"))
-    other = keys.select(F.col("node").alias("b"), F.col("label").alias("label"), F.col("code").alias("code_b"), "key")
-    near = keys.withColumnRenamed("node", "a").join(other, ["label", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("code_b"))) <= NEAR))
-    pairs = near.select("a", "b").distinct()
+            vectors, lengths, widths = batch.column(2).to_pylist(), batch.column(3).to_numpy(), segment_width(batch.column(4).to_numpy())
+            for length, w in sorted(set(zip(lengths.tolist(), widths.tolist(), strict=True))):
+                at = np.flatnonzero((lengths == length) & (widths == w))
+                signs = coder.signs(unit(np.array([vectors[i] for i in at], float)))[:, : SEGMENTS * w]
+                halves = np.packbits(np.pad(signs, ((0, 0), (0, 128 - signs.shape[1]))), axis=1).view(">i8").astype(np.int64)
+                columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), batch.column(3).take(pa.array(at)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.full(len(at), int(FAR * SEGMENTS * w), np.int32)), pa.array(keys(signs, w).tolist(), pa.list_(pa.int64()))]
+                yield pa.record_batch(columns, names=["node", "label", "length", "low", "high", "far", "keys"])
+
+    kind = dict(groups.dtypes)["label"]
+    codes = materialise(sized.select("node", "label", "v", "length", "held").mapInArrow(code, f"node long, label {kind}, length int, low long, high long, far int, keys array<long>"), "codes")
+    # the label, the length and the key in one number; what it wrongly joins, the label and the cosine tell apart
+    index = codes.select("node", "low", "high", "far", F.xxhash64("label", "length").alias("group"), F.explode("keys").alias("key")).withColumn("key", F.xxhash64("group", "key")).drop("group")
+    a, b = index.alias("a"), index.alias("b")
+    close = F.expr("a.key = b.key AND a.node < b.node AND bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high) < a.far")
+    pairs = a.join(b, close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.array(batch.column(i).to_pylist(), float).reshape(-1, width) for i in (2, 3))
-            good = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= threshold
-            yield pa.record_batch([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
-
-    left = usable.select(F.col("node").alias("a"), F.col("v").alias("x"))
-    right = usable.select(F.col("node").alias("b"), F.col("v").alias("y"))
-    links = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(rerank, "a long, b long"), "links")
-    both = links.union(links.select("b", "a")).join(groups.select(F.col("node").alias("b"), "n"), "b")
-    neighbours = both.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("beside"))
+            lengths = np.array([len(x) for x in batch.column(2)])
+            for length in set(lengths.tolist()):
+                part = batch.filter(pa.array(lengths == length))
+                x, y = (unit(np.array(part.column(i).to_pylist(), float).reshape(-1, length)) for i in (2, 3))
+                good = pa.array((x * y).sum(axis=1) >= threshold)
+                yield pa.record_batch([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
+
+    left = groups.select(F.col("node").alias("a"), F.col("v").alias("x"), F.col("label").alias("of"))
+    right = groups.select(F.col("node").alias("b"), F.col("v").alias("y"), F.col("label").alias("to"))
+    both = pairs.join(left, "a").join(right, "b").where("of = to AND size(x) = size(y)")
+    links = materialise(both.select("a", "b", "x", "y").mapInArrow(rerank, "a long, b long"), "links")
+    ends = links.union(links.select("b", "a")).join(groups.select(F.col("node").alias("b"), "n"), "b")
+    neighbours = ends.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("beside"))
     roots = components(links)
     rooted = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
