@@ -63,13 +63,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dense_rank(df: DataFrame, group: list[str], order: list[str], out: str, buckets: int) -> DataFrame:
+def dense_rank(df: DataFrame, group: list[str], order: list[str], out: str, buckets: int | Column) -> DataFrame:
     """Number the rows of each group 0, 1, ... without bringing a group into one task.
 
     Rows go to buckets by a hash of `order`; a bucket starts where the ones before it end. Ties in `order` (repeated
     rows) get numbers in any order, gapless all the same. `df` must give the same rows when read twice.
     """
-    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), buckets if isinstance(buckets, Column) else F.lit(buckets)).cast("int"))
     keys = [*group, "__bucket"]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,6 +84,18 @@ def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with their group's row of `groups`, which has the number of its rows in `size`; `total` is that of all rows.
+
+    Groups of over an eighth of a task's fair share of rows come by broadcast, so that none is gathered: there are at most
+    eight times as many of them as shuffle partitions. Both frames must be cheap to read twice.
+    """
+    least = max(64, total // (8 * shuffle_partitions(rows.sparkSession)))
+    hot = groups.where(F.col(size) > least)
+    few = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) <= least), key)
+    return few.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b) of one orderable type: (node, root), root the least node reachable.
 

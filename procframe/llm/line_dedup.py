@@ -12,8 +12,7 @@ One earlier line is enough. In a large group of similar lines many share one of
 prefix; where more than HOT classes do, each first meets the earliest classes (PARTS at most) under that word. Classes found
 gone there need no further look; the others meet all classes, so a large group isn't compared pair by pair.
 
-Counting words and coding lines run in Arrow batches, as expressions over arrays of words took twice the CPU (figures in the
-README); classes, the join, its filters and verification are DataFrame operations.
+All of it is DataFrame operations; coding lines in Arrow batches instead took more CPU (figures in the README).
 
 Null texts count as empty. Lines without words stay. Order is by doc_id (null first), then by a hash of the text among rows
 that share an id, then by line; of rows with equal id and text one keeps the lines that stay, the others lose every line with
@@ -23,26 +22,21 @@ empty. Lines are told apart by 96 bits of two hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, small
+from .common import materialise, small
 
-#: Cells of the table of counts: 256 KB to each task, whatever the corpus.
-CELLS = 1 << 18
+#: Cells of the table of counts: a literal of so many numbers in the plan, whatever the corpus.
+CELLS = 1 << 16
 #: Words of a class by which hot groups are found, classes that make one, and earliest classes that each then meets.
-FEW, HOT, PARTS = 3, 64, 8
+FEW, HOT, PARTS = 3, 512, 8
 #: The id that stands for null.
 NULL = -(2**63)
 #: Hot words, or ids of lines to verify, up to which their list is broadcast; beyond, a shuffled join.
 BROADCAST = 1 << 20
-SEED = 42
+#: Blanks within a line, but for the plain one.
+ODD = "\t\x0b\f\r"
 
 
 def _text() -> Column:
@@ -54,95 +48,53 @@ def _keys() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("doc"), F.xxhash64(_text()).alias("tag")]
 
 
+def _worded(line: Column) -> Column:
+    return F.btrim(line, F.lit(" " + ODD)) != ""
+
+
+def _split(line: Column) -> Column:
+    """Words of a line, and empty ones."""
+    odd = F.contains(line, F.lit(ODD[0]))
+    for blank in ODD[1:]:
+        odd |= F.contains(line, F.lit(blank))
+    return F.split(F.when(odd, F.translate(line, ODD, " " * len(ODD))).otherwise(line), " ")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, tag, no, line, id, id2) of every line with words."""
     each = docs.select(*_keys(), F.posexplode(F.split(_text(), "\n")).alias("no", "line"))
-    return each.where(F.col("line").rlike("[^ \\t\\x0B\\f\\r]")).select("*", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
-
-
-def _hashed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each word its place among the distinct ones, and the hashes of these."""
-    coded = words.dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    return coded.indices.to_numpy(), np.fromiter((digest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, n): how many words of the texts fall into each cell."""
-    counts = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(batch.column(0))).flatten()
-        at, hashes = _hashed(words.filter(pc.not_equal(words, "")))
-        np.add.at(counts, (hashes % np.uint64(CELLS)).astype(np.int64), np.bincount(at, minlength=len(hashes)))
-    cells = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array(cells.astype(np.int32)), pa.array(counts[cells])], names=["cell", "n"])
-
-
-def _ranks(docs: DataFrame) -> np.ndarray:
-    """For each cell its place in the order of counts, the least first."""
-    cells = docs.select(_text().alias("text")).mapInArrow(_counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    found, counts = cells.toArrow(), np.zeros(CELLS, np.int64)  # CELLS rows at most, whatever the corpus
-    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    ranks = np.empty(CELLS, np.uint32)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(CELLS, dtype=np.uint32)
-    return ranks
-
-
-CODED = "doc long, tag long, no int, id long, id2 int, n int, map long, map2 long, prefix array<int>, few array<int>"
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
-
-
-def _coded(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Lines as CODED rows: number of words, parity maps, prefix in order of rarity, and FEW of its words by another hash."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(batch.column(5)))
-        at, hashes = _hashed(lists.flatten())
-        # distinct words in order of rarity: a word's place among them stands for it within the batch
-        order = np.lexsort((hashes, ranks[(hashes % np.uint64(CELLS)).astype(np.int64)]))
-        hashes, place = hashes[order], np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        pairs = np.sort((pc.list_parent_indices(lists).to_numpy().astype(np.int64) << 32) | place[at])
-        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
-        line, word = pairs >> 32, pairs & 0xFFFFFFFF
-        n = np.bincount(line, minlength=batch.num_rows)
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        bits = (hashes >> np.uint64(32)) & np.uint64(127)
-        one = np.uint64(1) << (bits & np.uint64(63))
-        low, high = np.where(bits < 64, one, np.uint64(0)), np.where(bits >= 64, one, np.uint64(0))
-        maps = [np.bitwise_xor.reduceat(half[word], starts).view(np.int64) for half in (low, high)]
-        length = n - (4 * n + 4) // 5 + 1
-        front = np.arange(len(line)) - starts[line] < length[line]
-        codes = _mixed(hashes).view(np.int64).astype(np.int32)
-        picked = np.sort((line[front] << 32) | (_mixed(hashes ^ np.uint64(SEED))[word[front]] >> np.uint64(32)).astype(np.int64))
-        few = np.minimum(length, FEW)
-        first = np.arange(len(picked)) - np.repeat(np.cumsum(length) - length, length) < FEW
-        yield pa.record_batch(
-            [*batch.columns[:5], pa.array(n.astype(np.int32)), *map(pa.array, maps), _lists(codes[word[front]], length), _lists((picked[first] & 0xFFFFFFFF).astype(np.uint32).view(np.int32), few)],
-            names=[x.split()[0] for x in CODED.split(", ")],
-        )
+    return each.where(_worded(F.col("line"))).select("*", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """(id, id2, at, n, map, map2, prefix, few): each line text once, with its first place (doc, tag, no)."""
-    bounded_batches(docs.sparkSession)
-    ranks = _ranks(docs)
-    coded = _lines(docs).select("doc", "tag", "no", "id", "id2", "line").mapInArrow(lambda batches: _coded(batches, ranks), CODED)
-    same = [F.first(c).alias(c) for c in ("n", "map", "map2", "prefix", "few")]
-    return materialise(coded.groupBy("id", "id2").agg(F.min(F.struct("doc", "tag", "no")).alias("at"), *same), "classes")
+def _ranks(docs: DataFrame) -> Column:
+    """For each cell of words its place in the order of counts, in the high bits of a long, as one literal array."""
+    words = docs.select(F.explode(_split(F.replace(_text(), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
+    cells = words.groupBy(F.xxhash64("w").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    counts = [0] * CELLS
+    for r in cells.collect():  # CELLS rows at most, whatever the corpus
+        counts[r.cell] = r.n
+    ranks = [0] * CELLS
+    for rank, cell in enumerate(sorted(range(CELLS), key=lambda c: (counts[c], c))):
+        ranks[cell] = (rank - CELLS // 2) << 48
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.translate(line, "\t\x0b\f\r", "    "), " ")), "")
+def _classes(docs: DataFrame) -> DataFrame:
+    """(id, id2, at, n, map, map2, prefix, few): each line text once, with its first place (doc, tag, no)."""
+    ranks, zero, one = _ranks(docs), F.lit(0).cast("long"), F.lit(1).cast("long")
+    left = lambda x, by: F.call_function("shiftleft", x, by.cast("int"))
+    hashes = F.array_remove(F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    # the rank stands for the hash's low 16 bits: a code names its hash
+    codes = F.sort_array(F.transform(hashes, lambda h: F.shiftrightunsigned(h, 16).bitwiseOR(F.coalesce(F.get(ranks, h.bitwiseAND(CELLS - 1).cast("int")), zero))))
+    # exploded from an array of one, so that what follows doesn't compute the codes again
+    coded = _lines(docs).select("doc", "tag", "no", "id", "id2", F.explode(F.array(codes)).alias("s")).withColumn("n", F.size("s"))
+    # XOR of a bit for each code: of all of them, and of those that have bit 6; the first less the second are the others'
+    every = F.aggregate("s", zero, lambda a, x: a.bitwiseXOR(left(one, x.bitwiseAND(63))))
+    high = F.aggregate("s", zero, lambda a, x: a.bitwiseXOR(left(F.shiftright(x, 6).bitwiseAND(one), x.bitwiseAND(63))))
+    prefix = F.transform(F.expr("slice(s, 1, n - cast(ceil(0.8 * n) as int) + 1)"), lambda x: F.hash(x))
+    coded = coded.select("doc", "tag", "no", "id", "id2", "n", every.alias("map"), high.alias("map2"), prefix.alias("prefix"))
+    same = [F.first(c).alias(c) for c in ("n", "map", "map2", "prefix")]
+    return materialise(coded.groupBy("id", "id2").agg(F.min(F.struct("doc", "tag", "no")).alias("at"), *same).withColumn("map", F.col("map").bitwiseXOR(F.col("map2"))), "classes")
 
 
 def _later(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -151,11 +103,10 @@ def _later(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     ids = small(ids, ids.count(), BROADCAST)
     texts = _lines(docs).join(ids, "id", "left_semi").groupBy("id", "id2").agg(F.min("line").alias("line"))
     placed = classes.select("id", "id2", "at").join(ids, "id", "left_semi")
-    lines = materialise(texts.join(placed, ["id", "id2"]), "lines")
-    x, y = (lines.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("id2", "line", "at")]) for k in "xy")
-    words = F.explode(F.array(F.struct(_words(F.col("x_line")).alias("x"), _words(F.col("y_line")).alias("y"))))  # split once
-    both = pairs.join(x, "x").join(y, "y").select("x", "x_id2", "x_at", "y", "y_id2", "y_at", words.alias("words"))
-    similar = both.where(9 * F.size(F.array_intersect("words.x", "words.y")) >= 4 * (F.size("words.x") + F.size("words.y")))
+    lines = texts.join(placed, ["id", "id2"]).select("id", "id2", "at", F.array_remove(F.array_distinct(_split(F.col("line"))), "").alias("words"))
+    lines = materialise(lines, "lines")
+    x, y = (lines.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("id2", "words", "at")]) for k in "xy")
+    similar = pairs.join(x, "x").join(y, "y").where(9 * F.size(F.array_intersect("x_words", "y_words")) >= 4 * (F.size("x_words") + F.size("y_words")))
     first = F.col("x_at") < F.col("y_at")
     return similar.select(F.when(first, F.col("y")).otherwise(F.col("x")).alias("id"), F.when(first, F.col("y_id2")).otherwise(F.col("x_id2")).alias("id2")).distinct()
 
@@ -165,14 +116,17 @@ def _near(a: str, b: str) -> str:
     return f"5 * {a}.n >= 4 * {b}.n AND 5 * {b}.n >= 4 * {a}.n AND 9 * (bit_count({a}.map ^ {b}.map) + bit_count({a}.map2 ^ {b}.map2)) <= {a}.n + {b}.n"
 
 
-def _hot_round(classes: DataFrame) -> DataFrame:
+def _hot_round(classes: DataFrame) -> DataFrame | None:
     """(x, y): under words that over HOT classes pick, each class y with the earliest classes x, past the filters."""
-    keyed = classes.select("id", "at", "n", "map", "map2", F.explode("few").alias("key"))
-    hot = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > HOT).select("key"), "hot")
-    keyed = materialise(keyed.join(small(hot, hot.count(), BROADCAST), "key", "left_semi"), "keyed")
+    picked = F.explode(F.slice(F.sort_array(F.transform("prefix", lambda w: F.hash(w))), 1, FEW)).alias("key")  # similar sets mostly choose alike
+    hot = materialise(classes.select(picked).groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > HOT).select("key"), "hot")
+    held = hot.count()
+    if not held:
+        return None
+    keyed = classes.select("id", "at", "n", "map", "map2", picked)
+    keyed = materialise(keyed.join(small(hot, held, BROADCAST), "key", "left_semi"), "keyed")
     hubs = keyed.groupBy("key", F.pmod("id", F.lit(PARTS)).alias("part")).agg(F.min(F.struct("at", "id", "n", "map", "map2")).alias("hub"))
-    hubs = hubs.select("key", "hub.*")
-    hubs = small(hubs, hot.count() * PARTS, BROADCAST).alias("a")
+    hubs = small(hubs.select("key", "hub.*"), held * PARTS, BROADCAST // 8).alias("a")
     return keyed.alias("b").join(hubs, F.expr(f"a.key = b.key AND a.id <> b.id AND a.at < b.at AND {_near('a', 'b')}")).selectExpr("a.id AS x", "b.id AS y").distinct()
 
 
@@ -199,8 +153,9 @@ def _rest(classes: DataFrame) -> DataFrame:
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc, tag, no): the lines with words that stay."""
     classes = _classes(docs)
-    pairs = materialise(_hot_round(classes), "hot_pairs")
-    gone = materialise(_later(pairs, docs, classes), "hot_gone")
+    gone = classes.sparkSession.createDataFrame([], "id long, id2 int")
+    if (hot := _hot_round(classes)) is not None:
+        gone = materialise(_later(materialise(hot, "hot_pairs"), docs, classes), "hot_gone")
     marked = classes.join(gone.withColumn("gone", F.lit(True)), ["id", "id2"], "left").withColumn("open", F.col("gone").isNull())
     pairs = materialise(_rest(marked), "pairs")
     gone = materialise(gone.union(_later(pairs, docs, classes)), "gone")
@@ -219,7 +174,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         joined = joined.withColumn("kept", F.when(ordinal == 1, F.col("kept")))
     joined = joined.select("row", "kept", F.split("text", "\n").alias("lines"))
     held = lambda i: F.coalesce(F.getbit(F.element_at("kept", F.shiftright(i, 6)), i.bitwiseAND(63)) == 1, F.lit(False))
-    stays = F.filter("lines", lambda line, i: held(i) | ~line.rlike("[^ \\t\\x0B\\f\\r]"))
+    stays = F.filter("lines", lambda line, i: held(i) | ~_worded(line))
     out = joined.select("row", F.size("lines").alias("n_lines"), stays.alias("stays"))
     own = [F.array_join("stays", "\n").alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     return out.select(*own, "n_lines", (F.col("n_lines") - F.size("stays")).alias("n_removed"))

@@ -65,8 +65,9 @@ def test_brute_force(spark, seed):
     assert got(spark, rows) == expected(rows)
 
 
-def test_hot_group(spark):
+def test_hot_group(spark, monkeypatch):
     """Over HOT lines of one group, most found in the first round, and lines beyond its hubs."""
+    monkeypatch.setattr(line_dedup, "HOT", 64)
     pick = random.Random(5)
     base = [f"w{i}" for i in range(20)]
     rows = []
