@@ -230,7 +230,7 @@ def test_streams(spark, tmp_path):
 
 def test_windows_close_by_the_watermark(spark, tmp_path):
     rows = [(1, f"2024-01-01 00:00:{s:02d}", float(2 * s)) for s in range(20)] + [(1, "2024-01-01 00:05:00", 1.0)]
-    for part, chunk in enumerate((rows[:20], rows[20:], [(1, "2024-01-01 00:00:05", 99.0), (1, "2024-01-01 00:06:00", 1.0)])):
+    for part, chunk in enumerate((rows[:20], rows[20:], [(1, "2024-01-01 00:06:00", 1.0)], [(1, "2024-01-01 00:00:05", 99.0)])):
         spark.createDataFrame(chunk, "series_id long, ts string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/e{part}")
     source = spark.readStream.schema("series_id long, ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/e*")
     run(streams.windowed_fit(source, "10 seconds", "30 seconds"), "fits")
