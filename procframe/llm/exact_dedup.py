@@ -20,10 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, shuffle_partitions, small
+from .common import bounded_batches, materialise, shuffle_partitions, small, with_group
 
 BLANKS = b" \t\n\x0b\x0c\r"
 CHUNK_ROWS = 1 << 20
+#: Rows whose fingerprints one owner holds, about.
+OWNED = 1 << 22
 #: Suspect classes up to which their digests (32 bytes each) are broadcast to the second scan; beyond, a shuffled join.
 BROADCAST_CLASSES = 1 << 19
 
@@ -142,7 +144,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_points for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    owners = shuffle_partitions(spark)
+    owners = max(shuffle_partitions(spark), -(-docs.count() // OWNED))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.length(F.coalesce("text", F.lit(""))).alias("n_points"))
     sent = materialise(rows.mapInArrow(lambda batches: _send(batches, owners), FINGERPRINTS), "fingerprints")
     codes = sent.where("code is not null").select("src", "owner", "k", "n", "code")
@@ -160,7 +162,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     place = F.expr("9223372036854775807BD - best % 100000000000000000000BD")
     keepers = verified.groupBy("sha").agg(F.count(F.lit(1)).alias("texts"), F.max("best").alias("best"), F.max("group_size").alias("group_size"), F.max("with_id").alias("with_id"))
     keepers = keepers.select("sha", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts with one SHA-256"))).otherwise(F.when(F.col("with_id") > 0, place.cast("long"))).alias("keep_id"), "group_size")
-    same = suspects.join(keepers, "sha").select("doc_id", "keep_id", "group_size", "sha", "n_points")
+    same = with_group(suspects, materialise(keepers, "keepers"), "sha", "group_size", suspects.count()).select("doc_id", "keep_id", "group_size", "sha", "n_points")
     alone = flagged.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha", "n_points")
     every = alone.union(same)
     return every.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "n_points")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, materialise, small
+from .common import bounded_batches, components, materialise, shuffle_partitions, small, with_group
 
 SEED, WORDS, DISTANCE = 42, 3, 3
 #: Fingerprints of one signature that are compared in one group.
@@ -118,7 +118,7 @@ def signatures(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): enough links between the distinct fingerprints `fps` to connect what links connect."""
-    keys = signatures(fps)
+    keys = signatures(fps.repartition(shuffle_partitions(fps.sparkSession), "fp"))  # each row becomes 64
     hot = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
     dealt = keys.join(small(hot, hot.count(), BROADCAST_KEYS), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
@@ -132,12 +132,12 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id for every row of docs (doc_id, text)."""
     rows = materialise(fingerprints(docs, words), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("held")), "distinct")
     roots = components(links(distinct.select("fp"), distance))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialise(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialise(rooted.join(least, "root").select("fp", "component_id", "held"), "named")
+    return with_group(rows, named, "fp", "held", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def simhash(docs: DataFrame) -> DataFrame:

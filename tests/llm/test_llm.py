@@ -30,8 +30,9 @@ def test_lpt_is_the_heaps():
         for _ in range(count):
             loads[loads.index(min(loads))] += size
     got = [0] * 4
-    for size, runs in zip(sizes, sharding.schedule(sizes, counts, 4)):
-        for s, n in runs:
+    offsets, to, ends = sharding.schedule(sizes, counts, 4)
+    for size, a, b in zip(sizes, offsets, offsets[1:]):
+        for s, n in zip(to[a:b], np.diff(ends[a:b], prepend=0)):
             got[s] += size * n
     assert sorted(got) == sorted(loads)
 
