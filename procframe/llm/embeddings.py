@@ -5,7 +5,9 @@ is fitted by iterative quantisation from another start, on a bounded sample (SAM
 into SEGMENTS segments whose width follows the logarithm of the label's number of vectors, so that a key holds about as
 many vectors whatever the size. Codes are indexed under each segment with one bit left out at a time: two vectors share a
 key where a segment of theirs differs by one bit at most. Pairs that share one, and differ in less than FAR of all bits, are
-reranked by cosine in double precision on the original vectors. The centre serves the code alone.
+reranked by cosine in double precision on the original vectors. The centre serves the code alone, and is left out where the
+links among TRIED sampled vectors would be missed with it (vectors so close together that most are linked). In labels of
+EXACT vectors or fewer all pairs are reranked.
 
 Every usable vector is indexed: vectors of other lengths than the sample's commonest take random directions of their length,
 uncentred. Equal vectors of a label are one node, counted by its size. Recall against brute force is in the tests.
@@ -31,6 +33,7 @@ SAMPLE, ROUNDS, TURNS = 20_000, 30, 2
 SEGMENTS, NARROW, WIDE = 6, 6, 20
 #: Share of differing bits from which a pair isn't reranked.
 FAR = 0.3
+EXACT, TRIED, WANTED = 256, 2000, 0.95
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -54,17 +57,26 @@ def rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) ->
 
 
 class Coder:
-    """Codes and keys of unit vectors."""
-
-    def __init__(self, sample: np.ndarray):
-        self.width = sample.shape[1] if len(sample) else 0
-        self.bits = SEGMENTS * WIDE
-        self.centre = sample.mean(axis=0) if len(sample) else np.zeros(0)
-        each = -(-self.bits // TURNS)
-        self.project = np.concatenate([rotation(sample - self.centre, each, turn) for turn in range(TURNS)], axis=1)[:, : self.bits] if len(sample) else None
-        # bits of all rotations take turns, so that each segment mixes them
-        if self.project is not None:
-            self.project = self.project[:, np.argsort(np.arange(self.bits) % each, kind="stable")]
+    """Codes and keys of unit vectors; `held` is the number of vectors that a label may have, `threshold` the least cosine."""
+
+    def __init__(self, sample: np.ndarray, held: int = 0, threshold: float = 0.98):
+        self.width, self.bits = sample.shape[1], SEGMENTS * WIDE
+        if not len(sample):
+            return
+        few = sample[:TRIED]
+        a, b = np.nonzero(np.triu(few @ few.T >= threshold, 1))
+        a, b = a[:TRIED], b[:TRIED]
+        for share in (1.0, 0.0):
+            self.centre = share * sample.mean(axis=0)
+            each = -(-self.bits // TURNS)
+            project = np.concatenate([rotation(sample - self.centre, each, turn) for turn in range(TURNS)], axis=1)[:, : self.bits]
+            # bits of all rotations take turns, so that each segment mixes them
+            self.project = project[:, np.argsort(np.arange(self.bits) % each, kind="stable")]
+            w = int(segment_width(np.array([max(held, len(sample))]))[0])
+            apart = (self.signs(few[a]) != self.signs(few[b]))[:, : SEGMENTS * w]
+            met = (apart.reshape(-1, SEGMENTS, w).sum(axis=2) <= 1).any(axis=1) & (apart.sum(axis=1) < int(FAR * SEGMENTS * w))
+            if met.sum() >= WANTED * len(a):
+                break
 
     def signs(self, vectors: np.ndarray) -> np.ndarray:
         if vectors.shape[1] == self.width:
@@ -100,18 +112,20 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     share = min(1.0, SAMPLE / total)
     sample = groups.where(F.pmod(F.xxhash64(F.lit("rotation"), "node"), F.lit(1_000_000)) <= int(share * 1_000_000)).select("v").toPandas()["v"]
     width = int(np.bincount([len(x) for x in sample]).argmax()) if len(sample) else 0
-    coder = Coder(unit(np.array([x for x in sample if len(x) == width], float).reshape(-1, width)))
     held = groups.groupBy("label", F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("held"))
+    most = held.agg(F.max("held")).first()[0]
+    coder = Coder(unit(np.array([x for x in sample if len(x) == width], float).reshape(-1, width)), most, threshold)
     sized = groups.withColumn("length", F.size("v")).join(held, ["label", "length"])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, lengths, widths = batch.column(2).to_pylist(), batch.column(3).to_numpy(), segment_width(batch.column(4).to_numpy())
+            vectors, lengths, held = batch.column(2).to_pylist(), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            widths = np.where(held <= EXACT, 0, segment_width(held))
             for length, w in sorted(set(zip(lengths.tolist(), widths.tolist(), strict=True))):
                 at = np.flatnonzero((lengths == length) & (widths == w))
                 signs = coder.signs(unit(np.array([vectors[i] for i in at], float)))[:, : SEGMENTS * w]
                 halves = np.packbits(np.pad(signs, ((0, 0), (0, 128 - signs.shape[1]))), axis=1).view(">i8").astype(np.int64)
-                columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), batch.column(3).take(pa.array(at)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.full(len(at), int(FAR * SEGMENTS * w), np.int32)), pa.array(keys(signs, w).tolist(), pa.list_(pa.int64()))]
+                columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), batch.column(3).take(pa.array(at)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.full(len(at), int(FAR * SEGMENTS * w) if w else 129, np.int32)), pa.array(keys(signs, w).tolist() if w else [[-1]] * len(at), pa.list_(pa.int64()))]
                 yield pa.record_batch(columns, names=["node", "label", "length", "low", "high", "far", "keys"])
 
     kind = dict(groups.dtypes)["label"]

@@ -26,7 +26,7 @@ def pairs_of(x, label):
 
 def candidates(x, label):
     """Pairs that the keys bring together, without Spark."""
-    coder, met = embeddings.Coder(embeddings.unit(x)), set()
+    coder, met = embeddings.Coder(embeddings.unit(x), len(x)), set()
     for one in set(label.tolist()):
         at = np.flatnonzero(label == one)
         width = int(embeddings.segment_width(np.array([len(at)]))[0])
@@ -48,8 +48,16 @@ def test_recall_and_candidates(mean, noise):
     assert len(met) - len(wanted & met) < 0.02 * len(x) ** 2 / 4
 
 
+def test_recall_where_most_are_linked():
+    """The centre would leave noise alone."""
+    deal = np.random.default_rng(3)
+    x = np.ones(64) + 0.1 * deal.normal(size=(600, 64))
+    wanted = pairs_of(x, np.zeros(600, int))
+    assert len(wanted) > 100_000 and len(wanted & candidates(x, np.zeros(600, int))) >= 0.9 * len(wanted)
+
+
 def test_the_query_finds_links_and_components(spark):
-    x, label = made(2, 400, 32, 0.5, 0.1, 3)
+    x, label = made(2, 1200, 32, 0.5, 0.1, 3)
     rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))]
     wanted = pairs_of(x, label)
     got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
