@@ -14,30 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import COMMON, RULES
+
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 BASE = [("cc by", "cc-by", "by cc"), ("general public license", "gpl", "license public general"), ("all rights reserved", "reserved", "all reserved rights")]
-#: label, keywords, how the name is written in words
-NAMES = [
-    ("apache-2.0", "apache", "apache (?:software )?(?:license )?(?:version |v ?)?2(?: 0)?"), ("apache", "apache", "apache(?: software)?(?: license)?"),
-    ("mit", "mit", "mit(?: x11)?(?: license)?"), ("bsd-2", "bsd", "bsd 2 clause"), ("bsd-3", "bsd", "bsd 3 clause"), ("bsd", "bsd", "(?:modified |new |simplified )?bsd(?: style)?"),
-    ("gpl-2", "gpl", "(?:gnu )?gpl(?: version| ?v)? ?2"), ("gpl-3", "gpl", "(?:gnu )?gpl(?: version| ?v)? ?3"), ("gpl-2", "gnu", "gnu general public license version 2"), ("gpl-3", "gnu", "gnu general public license version 3"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?"), ("lgpl", "lesser", "gnu lesser general public license"), ("agpl", "agpl", "(?:gnu )?agpl(?: ?v?3)?"), ("agpl", "affero", "gnu affero general public license"),
-    ("mpl-2.0", "mozilla", "mozilla public license(?: version)?(?: 2 0)?"), ("mpl-2.0", "mpl", "mpl 2 0"), ("epl", "eclipse", "eclipse public license(?: v?[12](?: 0)?)?"), ("cddl", "cddl", "cddl(?: 1 [01])?"), ("isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?"), ("boost", "boost", "boost software(?: license)?(?: 1 0)?"), ("unlicense", "unlicense", "(?:the )?unlicense"), ("wtfpl", "wtfpl", "wtfpl"), ("artistic", "artistic", "artistic(?: license)?(?: 2 0)?"),
-    ("cc0", "cc0", "cc0(?: 1 0)?"), ("cc-by-nc", "cc nc", "cc by nc(?: [1-4] [0-9])?"), ("cc-by-sa", "cc sa", "cc by sa(?: [1-4] [0-9])?"), ("cc-by-nd", "cc nd", "cc by nd(?: [1-4] [0-9])?"), ("cc-by-nc-sa", "cc nc", "cc by nc sa(?: [1-4] [0-9])?"),
-    ("cc-by-nc-nd", "cc nc", "cc by nc nd(?: [1-4] [0-9])?"), ("cc-by", "creative", "creative commons attribution"), ("cc-by-sa", "sharealike", "creative commons attribution sharealike"), ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial"),
-    ("ofl", "ofl", "sil ofl"), ("ofl", "sil", "sil open font license"), ("odbl", "odbl", "odbl"), ("python", "psf", "psf(?: license)?"), ("php", "php", "php license"), ("eupl", "eupl", "eupl(?: 1 [12])?"), ("postgresql", "postgresql", "postgresql license"),
-]
-#: words that the patterns of NAMES read as a keyword with something joined on
-JOINED = {"gplv": "gpl"} | {f"{name}{v}{n}": name for name, versions in (("gpl", "23"), ("lgpl", "23"), ("agpl", "3")) for v in ("", "v") for n in versions}
-#: priority, confidence, a word of its own, how a text speaks of a name
-FORMS = [
-    (0, 0.99, "spdx", "spdx license identifier {}"), (1, 0.95, "licensed", "(?:is |are )?licensed under (?:the (?:terms of the )?)?{}"), (1, 0.95, "released", "released under (?:the )?{}"),
-    (1, 0.95, "under", "(?:distributed|available|provided) under (?:the (?:terms of the )?)?{}"), (2, 0.85, "license", "{} license"), (2, 0.85, "terms", "under (?:the )?terms of (?:the )?{}"), (2, 0.8, "license", "license {}"),
-]
-RULES = [(p, conf, label, f"{word} {keyword}", form.format(f"(?:{name})")) for label, keyword, name in NAMES for p, conf, word, form in FORMS]
-RULES += [(3, 0.6, label, keyword, phrase) for phrase, label, keyword in BASE]
-RULES += [(3, 0.5, "copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"), (3, 0.7, "public-domain", "domain", "(?:in|to) the public domain")]
+#: words that the rules read as a keyword with something joined on
+JOINED = {f"{name}{v}{n}": name for name, versions in (("gpl", "123"), ("lgpl", "23"), ("agpl", "3"), ("mpl", "2"), ("epl", "12")) for v, numbers in (("", versions), ("v", ["", *versions])) for n in numbers}
 
 
 def _starts(body: Column, pattern: Column) -> Column:
@@ -65,7 +47,7 @@ def scan(docs: DataFrame, gated: bool = True) -> DataFrame:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     text = F.coalesce("text", F.lit(""))
     words = sorted({w for *_, k, _ in RULES for w in k.split()} | {*JOINED})
-    keywords = {k.split()[-1] for *_, k, _ in RULES}  # the rarest of a rule's
+    keywords = {max(k.split(), key=lambda w: (w not in COMMON, len(w))) for *_, k, _ in RULES}  # mostly the rarest of a rule's
     keywords = sorted(keywords | {w for w, bare in JOINED.items() if bare in keywords})
     rules = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c"), F.lit(label).alias("label"), F.array(*map(F.lit, k.split())).alias("k"), F.lit(x).alias("x")) for p, c, label, k, x in RULES])
     gate = f"(?i)(?<![0-9a-z\\x80-\\x{{10FFFF}}])(?:{'|'.join(keywords)})(?![0-9a-z\\x80-\\x{{10FFFF}}])"
