@@ -5,11 +5,12 @@ shows such signs is a noisy observation: each of its characters may stand for it
 a repeated letter, or for nothing. These choices form a lattice; Viterbi decoding under a character trigram model picks
 the likeliest word. The model's counts come from all texts, so they grow with the corpus; its table has a fixed size.
 
-The restored text is scored by a ridge logistic regression over character 5-grams within words. It is fitted on a sample
-of at most about SAMPLE_ROWS labelled rows whose crc32(doc_id) mod 5 isn't 0; which 5-grams it may use follows from
-their likelihood ratio there. Score 0 to 1; predicted is score >= 0.5.
+The restored text is scored by a ridge logistic regression over character 5-grams within words and the first bytes of words
+(abuse in some languages is marked by how words begin, and by their number): a feature is that a text holds such a string
+once, or LEVELS times. It is fitted on a sample of at most about SAMPLE_ROWS labelled rows whose crc32(doc_id) mod 5 isn't 0;
+which strings it may use follows from their likelihood ratio there. Score 0 to 1; predicted is score >= 0.5.
 
-Null and empty texts hold no 5-gram and get the score of the intercept. Rows without an id are scored and count as not
+Null and empty texts hold no such string and get the score of the intercept. Rows without an id are scored and count as not
 held out. Repeated label rows count once, the largest label. Without labels of both kinds every score is the share of
 toxic labels. Extra columns are ignored; an empty table gives an empty result.
 """
@@ -24,14 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import bounded_batches, materialise
 
 #: Labelled rows that the classifier is fitted on, about; drawn by a hash of the id.
 SAMPLE_ROWS = 20_000
-#: 5-grams that the classifier may use, and the likelihood ratio (G squared) that each needs.
-FEATURES, LEAST_RATIO = 1024, 30.0
-GRAM = 5
+#: Strings that the classifier may use, and the likelihood ratio (G squared) that each needs.
+FEATURES, LEAST_RATIO = 512, 30.0
+GRAM, START = 5, 6
+LEVELS = (1, 2, 4)
 RIDGE = 0.05
 #: Tokens that a Python worker remembers.
 CACHE = 1 << 20
@@ -151,8 +154,9 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
 
 
 def grams(text: bytes) -> set[bytes]:
-    """5-grams that lie within a word and its boundaries."""
-    return {g for g in {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)} if b" " not in g[1:-1]}
+    """5-grams that lie within a word and its boundaries, and the first START bytes of words after a boundary."""
+    inner = {g for g in {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)} if b" " not in g[1:-1]}
+    return inner | {b" " + w[:START] for w in set(text.split()) if len(w) >= START}
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,25 +171,27 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Features:
-    """Indices of the known 5-grams that a restored text holds."""
+    """Indices of the features of a restored text: of the known strings, by how often it holds each."""
 
     def __init__(self, lexicon: list[bytes]):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.n = ahocorasick.Automaton(), len(lexicon)
         for i, gram in enumerate(lexicon):
             self.automaton.add_word(gram.decode("latin-1"), i)
-        self.empty = not lexicon
         if lexicon:
             self.automaton.make_automaton()
 
     def __call__(self, text: bytes) -> list[int]:
-        return [] if self.empty else sorted({i for _, i in self.automaton.iter(text.decode("latin-1"))})
+        if not self.n:
+            return []
+        found = Counter(i for _, i in self.automaton.iter(text.decode("latin-1")))
+        return [level * self.n + i for level, least in enumerate(LEVELS) for i, held in found.items() if held >= least]
 
 
 def fit(rows: list[list[int]], labels: np.ndarray, n: int) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Newton steps: weights and intercept."""
-    x = np.zeros((len(rows), n + 1))
+    x = np.zeros((len(rows), n + 1), np.float32)
     x[:, n] = 1
     for i, found in enumerate(rows):
         x[i, found] = 1
@@ -195,16 +201,20 @@ def fit(rows: list[list[int]], labels: np.ndarray, n: int) -> tuple[np.ndarray,
     if n and 0 < labels.sum() < len(labels):
         ridge = np.append(np.full(n, RIDGE * max(1.0, np.sqrt(len(rows) / 1000))), 1e-6)
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (labels - p) - ridge * w)
+            p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30).astype(float)))
+            curved = ((x * (p * (1 - p) + 1e-9)[:, None].astype(np.float32)).T @ x).astype(float) + np.diag(ridge)
+            step = np.linalg.solve(curved, x.T @ (labels - p).astype(np.float32) - ridge * w)
             w += np.clip(step, -4, 4)
-            if np.abs(step).max() < 1e-4:
+            if np.abs(step).max() < 1e-3:
                 break
     return w[:n], float(w[n])
 
 
-def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels has doc_id and toxic."""
+def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels has doc_id and toxic.
+
+    Columns named in `carry` come along, each row with its own, so that a filter by score needs no join.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -240,13 +250,16 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield pa.record_batch([batch.column(0), pa.array([features(x) for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["toxic", "found"])
 
     train = sample.mapInArrow(featured, "toxic int, found array<int>").toPandas()
-    weights, intercept = fit([list(x) for x in train["found"]], train["toxic"].to_numpy(float), len(lexicon))
+    weights, intercept = fit([list(x) for x in train["found"]], train["toxic"].to_numpy(float), len(LEVELS) * len(lexicon))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, features = Restorer(counts.value), Features(lexicon)
         for batch in batches:
             z = np.array([intercept + weights[features(restorer(x))].sum() for x in batch.column(1).to_pylist()], float)
-            yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=["doc_id", "score"])
+            along = [batch.column(2)] if carry else []
+            yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50)))), *along], names=["doc_id", "score", "along"][: 2 + len(along)])
 
-    out = rows.mapInArrow(scored, "doc_id long, score double")
-    return out.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*carry).alias("along")] if carry else []))
+    schema = StructType([StructField("doc_id", LongType()), StructField("score", DoubleType()), *own.schema.fields[2:]])
+    out = own.mapInArrow(scored, schema)
+    return out.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"along.`{c}`").alias(c) for c in carry])
