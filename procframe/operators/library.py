@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
@@ -58,9 +59,17 @@ def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("path", packed("text").alias("content"))
 
 
+def _headed(text: str) -> bytes:
+    """A header as of an archive that holds the text as it is."""
+    data = text.encode()
+    return archive.pack_header(archive.Header(engine=archive.ENGINES[3], payload_type="LZMA_FALLBACK", original_size=len(data), compressed_size=len(data), original_hash=hashlib.sha256(data).digest())) + data
+
+
 def header_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the headers of archives of all texts say, read by expressions."""
-    found = archive.scan(_archives(spark, sf_dir))
+    """What the headers of files with all texts say, read by expressions."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    headed = F.pandas_udf(lambda texts: texts.map(_headed), "binary", functionType=F.PandasUDFType.SCALAR)
+    found = archive.scan(docs.select("path", headed("text").alias("content")))
     return found.select(F.col("path").cast("long").alias("doc_id"), "format", "version", "header_size", "file_type", "engine", "payload_type", F.col("original_size").cast("long").alias("original_size"), "original_hash", "flags", (F.col("compressed_size") + 66 == F.col("file_size")).alias("whole"))
 
 
