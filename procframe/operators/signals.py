@@ -90,8 +90,11 @@ def _quantised(bits: int, rounding: str = "half_away") -> Query:
 
 
 def _dequantised(bits: int) -> Query:
-    q = level(F.col("v"), F.col("lo"), F.col("scale"), bits)
-    return lambda spark, sf_dir: _lineitem(spark, sf_dir).select("l_returnflag", "l_orderkey", "l_linenumber", F.round(unlevel(q, F.col("lo"), F.col("scale"), bits), 4).alias("value"))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        q = level(F.col("v"), F.col("lo"), F.col("scale"), bits)
+        return _lineitem(spark, sf_dir).select("l_returnflag", "l_orderkey", "l_linenumber", F.round(unlevel(q, F.col("lo"), F.col("scale"), bits), 4).alias("value"))
+
+    return run
 
 
 def quant_error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
