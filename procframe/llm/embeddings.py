@@ -89,11 +89,11 @@ def segment_width(held: np.ndarray) -> np.ndarray:
 
 
 def keys(signs: np.ndarray, width: int) -> np.ndarray:
-    """Keys of each row: of SEGMENTS segments of `width` bits each one with each of its bits left out."""
+    """Keys of each row: of SEGMENTS segments of `width` bits each one whole; then each one with each of its bits left out."""
     parts = signs[:, : SEGMENTS * width].reshape(-1, SEGMENTS, width).astype(np.int64) @ (1 << np.arange(width))
-    left = np.arange(width)
-    name = (np.arange(SEGMENTS)[:, None] * 64 + left) << WIDE
-    return ((parts[:, :, None] & ~(1 << left)) | name[None]).reshape(len(signs), -1)
+    left, segment = np.arange(width), np.arange(SEGMENTS)[:, None] * 64
+    one_out = (parts[:, :, None] & ~(1 << left)) | ((segment + left) << WIDE)[None]
+    return np.concatenate([parts | ((segment.ravel() + 63) << WIDE), one_out.reshape(len(signs), -1)], axis=1)
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -131,9 +131,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
     kind = dict(groups.dtypes)["label"]
     codes = materialise(sized.select("node", "label", "v", "length", "held").mapInArrow(code, f"node long, label {kind}, length int, low long, high long, far int, keys array<long>"), "codes")
     # the label, the length and the key in one number; what it wrongly joins, the label and the cosine tell apart
-    index = codes.select("node", "low", "high", "far", F.xxhash64("label", "length").alias("group"), F.explode("keys").alias("key")).withColumn("key", F.xxhash64("group", "key")).drop("group")
+    index = codes.select("node", "low", "high", "far", F.xxhash64("label", "length").alias("group"), F.posexplode("keys").alias("place", "key")).withColumn("key", F.xxhash64("group", "key")).drop("group")
     a, b = index.alias("a"), index.alias("b")
-    close = F.expr("a.key = b.key AND a.node < b.node AND bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high) < a.far")
+    differs = f"getbit(CASE WHEN a.place < {64 + SEGMENTS} THEN a.low ^ b.low ELSE a.high ^ b.high END, 63 - (a.place - {SEGMENTS}) % 64) = 1"
+    close = F.expr(f"a.key = b.key AND a.node < b.node AND bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high) < a.far AND CASE WHEN a.place < {SEGMENTS} THEN true ELSE {differs} END")
     pairs = a.join(b, close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
