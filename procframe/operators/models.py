@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs
@@ -159,7 +159,34 @@ def benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("kind", "method", "dataset", F.round("value", 5).alias("value"))
 
 
-FUNCTIONS = (fit_sine_by_user, fit_fourier_by_user, fit_polynomial_by_user, model_selection, lossless_roundtrip, quantised_roundtrip, residual_method_by_user, subband_roundtrip, subband_ratio, total_estimate_by_user, quality_by_flag, benchmark_report)
+def spectrum(series: DataFrame) -> DataFrame:
+    """(series_id, n, bin, magnitude, phase) of bins 1 to n / 2 of (series_id, pos, n, value), for series of any length.
+
+    Sums over positions, combined in each task before the shuffle; a series' work grows with the square of its length.
+    """
+    means = series.groupBy("series_id").agg(F.avg("value").alias("mean"))
+    each = series.join(means, "series_id").where("n > 3").select("series_id", "pos", "n", (F.col("value") - F.col("mean")).alias("c"), F.explode(F.expr("sequence(1L, n div 2 - 1)")).alias("bin"))
+    angle = F.col("bin") * F.col("pos") % F.col("n") * (generators.TAU / F.col("n"))
+    sums = each.groupBy("series_id", "n", "bin").agg(F.sum(F.col("c") * F.cos(angle)).alias("re"), (F.sum(F.col("c") * F.sin(angle)) * -1).alias("im"))
+    return sums.select("series_id", "n", "bin", F.hypot("re", "im").alias("magnitude"), F.atan2("im", "re").alias("phase"))
+
+
+def strongest(bins: DataFrame, terms: int, energy: float) -> DataFrame:
+    """The strongest bins of each series until they hold more than `energy` of all, `terms` at most; the one that crosses stays."""
+    mine = Window.partitionBy("series_id")
+    order = mine.orderBy(F.desc(F.round("magnitude", 6)), "bin")
+    square = F.col("magnitude") * F.col("magnitude")
+    ranked = bins.where(F.col("magnitude") >= 1e-6).select("*", F.row_number().over(order).alias("place"), F.sum(square).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("held"), F.sum(square).over(mine).alias("whole"))
+    return ranked.where((F.col("place") <= terms) & ((F.col("held") - square) / F.col("whole") <= energy)).drop("held", "whole")
+
+
+def fourier_terms_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest bins of each series by sums and windows."""
+    found = strongest(spectrum(mixed_series(spark, sf_dir)).where("n > 7"), 20, 0.99)
+    return found.select(F.col("series_id").alias("user_id"), "bin", F.col("place").cast("long").alias("place"), F.round("magnitude", 3).alias("magnitude"))
+
+
+FUNCTIONS = (fourier_terms_long, fit_sine_by_user, fit_fourier_by_user, fit_polynomial_by_user, model_selection, lossless_roundtrip, quantised_roundtrip, residual_method_by_user, subband_roundtrip, subband_ratio, total_estimate_by_user, quality_by_flag, benchmark_report)
 QUERIES: dict[str, Query] = {f.__name__: f for f in FUNCTIONS}
 
 # The definitions once more, for another engine: transforms as sums over cosines, polynomials by orthogonal remainders.
@@ -199,6 +226,7 @@ ORACLES: dict[str, str] = {
         FROM sine JOIN s USING (user_id) JOIN peak USING (user_id) WHERE error < 0.01""",
     "fit_fourier_by_user": f"""WITH {_BASE}, {_FOURIER}
         SELECT user_id, c.terms::INT AS terms, k AS bin, round(mag, 3) AS magnitude, round(abs(error), 4) AS error, (20 * c.terms + 40)::INT AS cost FROM terms JOIN series c USING (user_id) WHERE error < 0.01""",
+    "fourier_terms_long": f"WITH {_BASE}, {_FOURIER} SELECT user_id, k AS bin, place, round(mag, 3) AS magnitude FROM terms",
     "fit_polynomial_by_user": f"WITH {_BASE}, {_POLYNOMIAL} SELECT user_id, degree, round(abs(error), 5) AS error, round(at_zero, 4) AS at_zero, (8 * degree + 40)::INT AS cost FROM poly WHERE degree IS NOT NULL",
     "model_selection": f"""WITH {_BASE}, {_SINE}, {_FOURIER}, {_POLYNOMIAL},
         c AS (SELECT user_id, 1 AS o, 'sine' AS method, 64 AS cost FROM sine WHERE error < 0.01 UNION ALL SELECT user_id, 2, 'fourier', 20 * terms + 40 FROM series WHERE error < 0.01

@@ -119,6 +119,13 @@ def decompress_series(compressed: DataFrame) -> DataFrame:
     return compressed.select("series_id", "n", "method", "coefficients", "residual", "residual_bits", "low", "high").mapInArrow(run, schema)
 
 
+def with_totals(compressed: DataFrame, itemsize: int = 4) -> DataFrame:
+    """PACKED rows with has_residual, total_size (parameters and residual) and effective_ratio."""
+    total = F.col("cost") + F.coalesce(F.octet_length("residual"), F.lit(0))
+    ratio = F.when(total > 0, F.col("n") * F.lit(float(itemsize)) / total)
+    return compressed.withColumn("has_residual", F.col("residual").isNotNull()).withColumn("total_size", total).withColumn("effective_ratio", ratio)
+
+
 def residual(original: DataFrame, generated: DataFrame) -> DataFrame:
     """(series_id, pos, value): original less generated, both (series_id, pos, value); a place that one side lacks is an error."""
     a, b = original.select("series_id", "pos", F.col("value").alias("a")), generated.select("series_id", "pos", F.col("value").alias("b"))

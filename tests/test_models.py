@@ -193,6 +193,8 @@ def test_designer(spark):
         assert sorted(got) == [0, 1, 2, 3, 4] and got[3] == [] and got[4] == []
         limit = 0.2 if not lossless else 1e-9 if bits is None else 0.05
         assert all(np.abs(np.array(got[i]) - rows[i][1]).max() <= limit for i in (0, 1, 2))
+    totals = {r.series_id: r for r in compression.with_totals(compression.compress_series(packed)).collect()}
+    assert totals[2].total_size == len(totals[2].residual) and totals[2].has_residual and totals[0].effective_ratio == pytest.approx(4 * n / totals[0].total_size) and totals[3].total_size > 0
     methods = {r.series_id: (r.method, r.residual is not None, r.lossless) for r in compression.compress_series(packed).collect()}
     assert methods[0][0] == "fourier" and methods[1][:2] == ("polynomial", True) and methods[2] == ("lzma", True, True)
 
