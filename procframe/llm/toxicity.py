@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -32,9 +33,9 @@ from .common import bounded_batches, materialise
 #: Labelled rows that the classifier is fitted on, about; drawn by a hash of the id.
 SAMPLE_ROWS = 20_000
 #: Strings that the classifier may use, and the likelihood ratio (G squared) that each needs.
-FEATURES, LEAST_RATIO = 512, 30.0
+FEATURES, LEAST_RATIO = 384, 30.0
 GRAM, START = 5, 6
-LEVELS = (1, 2, 4)
+LEVELS = (1, 3)
 RIDGE = 0.05
 #: Tokens that a Python worker remembers.
 CACHE = 1 << 20
@@ -189,17 +190,16 @@ class Features:
         return [level * self.n + i for level, least in enumerate(LEVELS) for i, held in found.items() if held >= least]
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps: weights and intercept."""
-    x = np.zeros((len(rows), n + 1), np.float32)
+def fit(row: np.ndarray, feature: np.ndarray, labels: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps: weights and intercept. `row` has `feature`, pair by pair, of n features."""
+    x = np.zeros((len(labels), n + 1), np.float32)
     x[:, n] = 1
-    for i, found in enumerate(rows):
-        x[i, found] = 1
+    x[row, feature] = 1
     share = (labels.sum() + 0.5) / (len(labels) + 2)
     w = np.zeros(n + 1)
     w[n] = np.log(share / (1 - share))
     if n and 0 < labels.sum() < len(labels):
-        ridge = np.append(np.full(n, RIDGE * max(1.0, np.sqrt(len(rows) / 1000))), 1e-6)
+        ridge = np.append(np.full(n, RIDGE * max(1.0, np.sqrt(len(labels) / 1000))), 1e-6)
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30).astype(float)))
             curved = ((x * (p * (1 - p) + 1e-9)[:, None].astype(np.float32)).T @ x).astype(float) + np.diag(ridge)
@@ -249,8 +249,10 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ca
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([features(x) for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["toxic", "found"])
 
-    train = sample.mapInArrow(featured, "toxic int, found array<int>").toPandas()
-    weights, intercept = fit([list(x) for x in train["found"]], train["toxic"].to_numpy(float), len(LEVELS) * len(lexicon))
+    train = sample.mapInArrow(featured, "toxic int, found array<int>").toArrow()
+    row, feature = pc.list_parent_indices(train.column("found").combine_chunks()).to_numpy(), pc.list_flatten(train.column("found").combine_chunks()).to_numpy()
+    weights, intercept = fit(row, feature, train.column("toxic").to_numpy().astype(float), len(LEVELS) * len(lexicon))
+    del train, row, feature
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, features = Restorer(counts.value), Features(lexicon)
