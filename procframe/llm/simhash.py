@@ -56,6 +56,21 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
         yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
 
+_LANES, _ONES = np.arange(8, dtype=np.uint64)[:, None, None], np.uint64(0x0101010101010101)
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of 64 * words bits of a set of 64-bit hashes: a bit is 1 if set in over half of what the hashes are mixed to."""
+    factors, addends = (np.random.default_rng(SEED).integers(0, 1 << 63, (words, 2), np.uint64) * 2 + 1).astype(np.uint64).T
+    total = np.zeros((8, words, 8), np.int64)
+    for at in range(0, len(hashes), 255):  # so many ones to a byte
+        mixed = hashes[at : at + 255, None] * factors + addends
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        total += ((mixed >> _LANES) & _ONES).sum(axis=1, dtype=np.uint64).view(np.uint8).reshape(8, words, 8)
+    return np.packbits((2 * total > len(hashes)).transpose(1, 2, 0).reshape(-1))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) with the fingerprint's bits as a signed long."""
     bounded_batches(docs.sparkSession)
@@ -116,6 +131,13 @@ def signatures(fps: DataFrame) -> DataFrame:
     return each.select((F.shiftleft(F.col("i").cast("long"), 32) + half.bitwiseAND(left_out)).alias("key"), "fp")
 
 
+def wildcards(rows: DataFrame, width: int) -> DataFrame:
+    """rows (at, segment, ...) as (key, ...): `width` keys for each segment of so many bits, its place, a left-out bit, and what is left."""
+    each = rows.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    place = F.shiftleft((F.col("at") * width + F.col("bit")).cast("long"), width)
+    return each.withColumn("key", place + F.col("segment").bitwiseAND(F.expr("~shiftleft(1L, bit)"))).drop("at", "segment", "bit")
+
+
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): enough links between the distinct fingerprints `fps` to connect what links connect."""
     keys = signatures(fps.repartition(shuffle_partitions(fps.sparkSession), "fp"))  # each row becomes 64
