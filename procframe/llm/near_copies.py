@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, materialise, small, with_group
+from .common import bounded_batches, components, materialise, setting, small, with_group
 from .simhash import SEED, wide_fingerprint, wildcards
 
 WORDS = 5
@@ -49,8 +49,10 @@ FEW = 16
 BLOCK = 4096
 #: Keys up to which their list is broadcast; beyond, a shuffled join.
 BROADCAST_KEYS = 1 << 19
-#: Signatures (24 bytes each) that are shuffled at once, as GB of disk go.
+#: Signatures (24 bytes each) to a node that are shuffled at once; small tables shuffle theirs in fewer rounds.
 AT_ONCE = 100
+#: Signatures to an Arrow batch; they have a fixed length.
+KEY_ROWS = 20_000
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -193,7 +195,8 @@ def links(docs: DataFrame, prints: DataFrame, width: int, count: int) -> DataFra
     for at in range(0, count, step):  # some segments at a time, so that the shuffle's files stay few times the input
         each = nodes.select("node", F.col("w7").alias("word"), F.posexplode(F.slice("segments", at + 1, step)).alias("at", "segment")).withColumn("at", F.col("at") + at)
         keys = wildcards(each, width).select("key", "node", "word").repartition("key").sortWithinPartitions("key")
-        found = materialise(keys.mapInArrow(_met, "key long, x long, y long"), "met")
+        with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(KEY_ROWS)):
+            found = materialise(keys.mapInArrow(_met, "key long, x long, y long"), "met")
         met = found if met is None else met.union(found)
     members = met.where("key is not null").selectExpr("key", "x AS node")
 
