@@ -1,10 +1,10 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words (parts between the six ASCII blanks). Lines of equal text are one class, placed at its first
-line. The words of a class are ordered by rarity: the rank of their cell in a table of CELLS counts over all lines of the
-corpus, then their hash. Two sets of Jaccard similarity 0.8 or more share a word in their prefixes of
-n - ceil(0.8 n) + 1 words. Classes meet on those words, are held to the length and positional filters, to a 128-bit parity
-map (the sets differ in at least as many words as their maps differ in bits) and to the number of words their prefixes
+line. The words of a class are ordered by rarity: the logarithm of their cell's count, in a table of CELLS counts over all
+lines of the corpus, then their hash. Two sets of Jaccard similarity 0.8 or more share a word in their prefixes of
+n - ceil(0.8 n) + 1 words. Classes meet on those words, are held to the length and positional filters, to a parity map of 64
+bits, 128 for long ones (the sets differ in at least as many words as their maps differ in bits) and to the number of words their prefixes
 share, and the pairs left are verified on the words of the lines themselves. A line goes if an earlier line is similar to
 it, whether or not that one stays.
 
@@ -22,13 +22,20 @@ empty. Lines are told apart by 96 bits of two hashes.
 
 from __future__ import annotations
 
+import math
+
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small
 
-#: Cells of the table of counts: a literal of so many numbers in the plan, whatever the corpus.
+#: Cells of the table of counts: a literal of so many short numbers in the plan, whatever the corpus.
 CELLS = 1 << 16
+#: Ranks to a doubling of a cell's count.
+STEPS = 16
+#: Words from which a set has a parity map of 128 bits instead of 64.
+LONG = 64
 #: Words of a class by which hot groups are found, classes that make one, and earliest classes that each then meets.
 FEW, HOT, PARTS = 3, 512, 8
 #: The id that stands for null.
@@ -66,35 +73,37 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.where(_worded(F.col("line"))).select("*", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
 
 
-def _ranks(docs: DataFrame) -> Column:
-    """For each cell of words its place in the order of counts, in the high bits of a long, as one literal array."""
+def _ranks(docs: DataFrame) -> list[int]:
+    """For each cell of words its place in the order of counts: STEPS to a doubling, so that a table in the plan stays short."""
     words = docs.select(F.explode(_split(F.replace(_text(), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
     cells = words.groupBy(F.xxhash64("w").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    counts = [0] * CELLS
-    for r in cells.collect():  # CELLS rows at most, whatever the corpus
-        counts[r.cell] = r.n
+    found = cells.toArrow()  # CELLS rows at most, whatever the corpus
     ranks = [0] * CELLS
-    for rank, cell in enumerate(sorted(range(CELLS), key=lambda c: (counts[c], c))):
-        ranks[cell] = (rank - CELLS // 2) << 48
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
+    for cell, n in zip(found["cell"].to_pylist(), found["n"].to_pylist(), strict=True):
+        ranks[cell] = int(STEPS * math.log2(n))
+    return ranks
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """(id, id2, at, n, map, map2, prefix, few): each line text once, with its first place (doc, tag, no)."""
+    """(id, id2, at, n, map, map2, prefix): each line text once, with its first place (doc, tag, no)."""
     ranks, zero, one = _ranks(docs), F.lit(0).cast("long"), F.lit(1).cast("long")
-    left = lambda x, by: F.call_function("shiftleft", x, by.cast("int"))
-    hashes = F.array_remove(F.array_distinct(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
+    left = lambda x, by: F.call_function("shiftleft", x, by)
     # the rank stands for the hash's low 16 bits: a code names its hash
-    codes = F.sort_array(F.transform(hashes, lambda h: F.shiftrightunsigned(h, 16).bitwiseOR(F.coalesce(F.get(ranks, h.bitwiseAND(CELLS - 1).cast("int")), zero))))
-    # exploded from an array of one, so that what follows doesn't compute the codes again
-    coded = _lines(docs).select("doc", "tag", "no", "id", "id2", F.explode(F.array(codes)).alias("s")).withColumn("n", F.size("s"))
-    # XOR of a bit for each code: of all of them, and of those that have bit 6; the first less the second are the others'
-    every = F.aggregate("s", zero, lambda a, x: a.bitwiseXOR(left(one, x.bitwiseAND(63))))
-    high = F.aggregate("s", zero, lambda a, x: a.bitwiseXOR(left(F.shiftright(x, 6).bitwiseAND(one), x.bitwiseAND(63))))
+    rank = lambda h: left(F.coalesce(F.get(table, h.bitwiseAND(CELLS - 1).cast("int")), zero), F.lit(48))
+    codes = F.transform(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)), lambda h: F.shiftrightunsigned(h, 16).bitwiseOR(rank(h)))
+    none = xxhash.xxh64_intdigest(b"", 42)
+    # each exploded from an array of one, so that what follows doesn't compute it again, and sorts and sets are compiled code
+    coded = _lines(docs).select("doc", "tag", "no", "id", "id2", F.explode(F.array(codes)).alias("c"))
+    ordered = F.array_remove(F.array_distinct(F.sort_array("c")), F.lit(none >> 16 | ranks[none % CELLS] << 48))
+    coded = coded.select("doc", "tag", "no", "id", "id2", F.explode(F.array(ordered)).alias("s")).withColumn("n", F.size("s"))
+    # XOR of a bit for each code: of all of them, and, for sets that are LONG, of those that have bit 6
+    every = F.aggregate("s", zero, lambda a, x: a.bitwiseXOR(left(one, x.bitwiseAND(63).cast("int"))))
+    high = F.aggregate("s", zero, lambda a, x: a.bitwiseXOR(left(F.shiftright(x, 6).bitwiseAND(one), x.bitwiseAND(63).cast("int"))))
     prefix = F.transform(F.expr("slice(s, 1, n - cast(ceil(0.8 * n) as int) + 1)"), lambda x: F.hash(x))
-    coded = coded.select("doc", "tag", "no", "id", "id2", "n", every.alias("map"), high.alias("map2"), prefix.alias("prefix"))
+    coded = coded.select("doc", "tag", "no", "id", "id2", "n", every.alias("map"), F.when(F.col("n") >= LONG, high).otherwise(zero).alias("map2"), prefix.alias("prefix"))
     same = [F.first(c).alias(c) for c in ("n", "map", "map2", "prefix")]
-    return materialise(coded.groupBy("id", "id2").agg(F.min(F.struct("doc", "tag", "no")).alias("at"), *same).withColumn("map", F.col("map").bitwiseXOR(F.col("map2"))), "classes")
+    return materialise(coded.groupBy("id", "id2").agg(F.min(F.struct("doc", "tag", "no")).alias("at"), *same), "classes")
 
 
 def _later(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -111,9 +120,11 @@ def _later(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return similar.select(F.when(first, F.col("y")).otherwise(F.col("x")).alias("id"), F.when(first, F.col("y_id2")).otherwise(F.col("x_id2")).alias("id2")).distinct()
 
 
-def _near(a: str, b: str) -> str:
-    """Length filter and parity maps."""
-    return f"5 * {a}.n >= 4 * {b}.n AND 5 * {b}.n >= 4 * {a}.n AND 9 * (bit_count({a}.map ^ {b}.map) + bit_count({a}.map2 ^ {b}.map2)) <= {a}.n + {b}.n"
+def _near(a: str, b: str, an: str, bn: str) -> str:
+    """Length filter and parity maps: the map of all, then, where both sets are LONG, its two halves."""
+    halves = f"bit_count({a}.map ^ {a}.map2 ^ {b}.map ^ {b}.map2) + bit_count({a}.map2 ^ {b}.map2)"
+    return f"""5 * {an} >= 4 * {bn} AND 5 * {bn} >= 4 * {an} AND 9 * bit_count({a}.map ^ {b}.map) <= {an} + {bn}
+        AND ({an} < {LONG} OR {bn} < {LONG} OR 9 * ({halves}) <= {an} + {bn})"""
 
 
 def _hot_round(classes: DataFrame) -> DataFrame | None:
@@ -127,7 +138,7 @@ def _hot_round(classes: DataFrame) -> DataFrame | None:
     keyed = materialise(keyed.join(small(hot, held, BROADCAST), "key", "left_semi"), "keyed")
     hubs = keyed.groupBy("key", F.pmod("id", F.lit(PARTS)).alias("part")).agg(F.min(F.struct("at", "id", "n", "map", "map2")).alias("hub"))
     hubs = small(hubs.select("key", "hub.*"), held * PARTS, BROADCAST // 8).alias("a")
-    return keyed.alias("b").join(hubs, F.expr(f"a.key = b.key AND a.id <> b.id AND a.at < b.at AND {_near('a', 'b')}")).selectExpr("a.id AS x", "b.id AS y").distinct()
+    return keyed.alias("b").join(hubs, F.expr(f"a.key = b.key AND a.id <> b.id AND a.at < b.at AND {_near('a', 'b', 'a.n', 'b.n')}")).selectExpr("a.id AS x", "b.id AS y").distinct()
 
 
 def _rest(classes: DataFrame) -> DataFrame:
@@ -141,7 +152,7 @@ def _rest(classes: DataFrame) -> DataFrame:
     an, bn, ap, bp = "shiftright(abs(a.np), 31)", "shiftright(abs(b.np), 31)", "(abs(a.np) & 2147483647)", "(abs(b.np) & 2147483647)"
     same = F.expr(f"""
         a.w = b.w AND b.np > CASE WHEN a.id < b.id OR (a.np < 0 AND a.id <> b.id) THEN 0 ELSE {2**63 - 1} END
-        AND 5 * {an} >= 4 * {bn} AND 5 * {bn} >= 4 * {an} AND 9 * (bit_count(a.map ^ b.map) + bit_count(a.map2 ^ b.map2)) <= {an} + {bn}""")
+        AND {_near('a', 'b', an, bn)}""")
     least = F.expr(f"(4 * ({an} + {bn}) + 8) div 9")  # words that similar sets share
     # the set whose prefix ends on the rarer word has all shared words in both prefixes, or behind its own
     behind = F.expr(f"(4 * greatest({an}, {bn}) + 4) div 5 - 1")

@@ -90,3 +90,11 @@ def test_clashing_columns(spark):
     frame = spark.createDataFrame([(1, "a b\na b", 9, *range(len(names)))], "doc_id long, text string, n_lines int, " + ", ".join(f"{c} int" for c in names))
     (found,) = line_dedup.dedup_lines(frame).collect()
     assert found.asDict() == {"doc_id": 1, "text": "a b", "n_lines": 2, "n_removed": 1, **{c: i for i, c in enumerate(names)}}
+
+
+def test_the_table_of_ranks_stays_short_in_the_plan(spark, monkeypatch):
+    """The driver keeps the text of each plan, in several forms."""
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: df)
+    docs = spark.createDataFrame([(i, f"w{i} some words of a line\nw{i} of another") for i in range(200)], "doc_id long, text string")
+    plan = line_dedup._classes(docs)._jdf.queryExecution().toString()
+    assert len(plan) < 40 * line_dedup.CELLS
