@@ -3,7 +3,8 @@
 A line is the set of its words (parts between the six ASCII blanks). Lines of equal text are one class, placed at its first
 line. The words of a class are ordered by rarity: the logarithm of their cell's count, in a table of CELLS counts over all
 lines of the corpus, then their hash. Two sets of Jaccard similarity 0.8 or more share a word in their prefixes of
-n - ceil(0.8 n) + 1 words. Classes meet on those words, are held to the length and positional filters, to a parity map of 64
+n - ceil(0.8 n) + 1 words. Classes meet on those words, in two
+rounds by the size of the smaller set, are held to the length and positional filters, to a parity map of 64
 bits, 128 for long ones (the sets differ in at least as many words as their maps differ in bits) and to the number of words their prefixes
 share, and the pairs left are verified on the words of the lines themselves. A line goes if an earlier line is similar to
 it, whether or not that one stays.
@@ -141,9 +142,22 @@ def _hot_round(classes: DataFrame) -> DataFrame | None:
     return keyed.alias("b").join(hubs, F.expr(f"a.key = b.key AND a.id <> b.id AND a.at < b.at AND {_near('a', 'b', 'a.n', 'b.n')}")).selectExpr("a.id AS x", "b.id AS y").distinct()
 
 
-def _rest(classes: DataFrame) -> DataFrame:
-    """(x, y): every two classes of which one is still open that share a word of their prefixes and pass the filters."""
-    each = classes.select("id", "map", "map2", "n", "open", F.posexplode("prefix").alias("p", "w"))
+def _middle(classes: DataFrame) -> int:
+    """The size below which lie about half of all prefix words."""
+    step = F.floor(4 * F.log2(F.col("n")))
+    found = sorted(classes.groupBy(step.alias("step")).agg(F.sum(F.size("prefix")).alias("held")).collect())  # some 100 rows
+    half, seen = sum(r.held for r in found) / 2, 0
+    for r in found:
+        seen += r.held
+        if seen >= half:
+            return math.ceil(2 ** ((r.step + 1) / 4))
+    return 1
+
+
+def _rest(classes: DataFrame, low: int, high: int) -> DataFrame:
+    """(x, y): every two classes of which one is still open that share a word of their prefixes and pass the filters, if the smaller has low <= n < high."""
+    within = classes.where(f"n >= {low} AND 4 * cast(n as long) <= {5 * high}")
+    each = within.select("id", "map", "map2", "n", "open", F.posexplode("prefix").alias("p", "w"))
     # n and p share a long, below 0 for the closed
     at = F.shiftleft(F.col("n").cast("long"), 31) + F.col("p")
     posted = each.select("id", "map", "map2", "w", F.when(F.col("open"), at).otherwise(-at).alias("np"))
@@ -151,7 +165,7 @@ def _rest(classes: DataFrame) -> DataFrame:
     # the whole condition looks at both sides, so that both read one exchange
     an, bn, ap, bp = "shiftright(abs(a.np), 31)", "shiftright(abs(b.np), 31)", "(abs(a.np) & 2147483647)", "(abs(b.np) & 2147483647)"
     same = F.expr(f"""
-        a.w = b.w AND b.np > CASE WHEN a.id < b.id OR (a.np < 0 AND a.id <> b.id) THEN 0 ELSE {2**63 - 1} END
+        a.w = b.w AND {an} <= {bn} AND ({an} < {bn} OR a.id < b.id) AND greatest(a.np, b.np) > 0 AND least({an}, {bn}) < {high}
         AND {_near('a', 'b', an, bn)}""")
     least = F.expr(f"(4 * ({an} + {bn}) + 8) div 9")  # words that similar sets share
     # the set whose prefix ends on the rarer word has all shared words in both prefixes, or behind its own
@@ -167,8 +181,12 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     gone = classes.sparkSession.createDataFrame([], "id long, id2 int")
     if (hot := _hot_round(classes)) is not None:
         gone = materialise(_later(materialise(hot, "hot_pairs"), docs, classes), "hot_gone")
-    marked = classes.join(gone.withColumn("gone", F.lit(True)), ["id", "id2"], "left").withColumn("open", F.col("gone").isNull())
-    pairs = materialise(_rest(marked), "pairs")
+    closed = small(gone.withColumn("gone", F.lit(True)), gone.count(), BROADCAST // 8)
+    marked = classes.join(closed, ["id", "id2"], "left").withColumn("open", F.col("gone").isNull())
+    middle = _middle(classes)
+    # by size of the smaller set, so that the shuffle's files are about half as large at once
+    below, above = (materialise(_rest(marked, *sizes), "pairs") for sizes in ((1, middle), (middle, 1 << 40)))
+    pairs = below.union(above)
     gone = materialise(gone.union(_later(pairs, docs, classes)), "gone")
     return classes.select("id", "id2", "at").join(gone, ["id", "id2"], "left_anti").select("at.*")
 
@@ -178,12 +196,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # a document's kept lines as 64 to a word of bits
     bits = kept_lines(docs).groupBy("doc", "tag", F.shiftright("no", 6).alias("part")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("no").bitwiseAND(63))).alias("bits"))
     kept = materialise(bits.groupBy("doc", "tag").agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("kept")), "kept")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_keys(), _text().alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_keys())
     joined = rows.join(kept, ["doc", "tag"], "left")
     if not rows.groupBy("doc", "tag").count().where("count > 1").isEmpty():  # of equal rows the first keeps its lines
         ordinal = F.row_number().over(Window.partitionBy("doc", "tag").orderBy(F.lit(1)))
         joined = joined.withColumn("kept", F.when(ordinal == 1, F.col("kept")))
-    joined = joined.select("row", "kept", F.split("text", "\n").alias("lines"))
+    # the text is taken out of the row past the shuffle, which so holds it once
+    joined = joined.select("row", "kept", F.split(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "\n").alias("lines"))
     held = lambda i: F.coalesce(F.getbit(F.element_at("kept", F.shiftright(i, 6)), i.bitwiseAND(63)) == 1, F.lit(False))
     stays = F.filter("lines", lambda line, i: held(i) | ~_worded(line))
     out = joined.select("row", F.size("lines").alias("n_lines"), stays.alias("stays"))

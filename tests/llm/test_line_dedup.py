@@ -5,6 +5,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from procframe.llm import line_dedup
 
@@ -98,3 +99,32 @@ def test_the_table_of_ranks_stays_short_in_the_plan(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"w{i} some words of a line\nw{i} of another") for i in range(200)], "doc_id long, text string")
     plan = line_dedup._classes(docs)._jdf.queryExecution().toString()
     assert len(plan) < 40 * line_dedup.CELLS
+
+
+def test_rounds_by_size_find_each_pair_once(spark):
+    """Sets around the border of the two rounds; none shuffles the prefixes of all sizes."""
+    pick = random.Random(9)
+    texts = []
+    for _ in range(30):
+        words = [f"w{i}" for i in pick.sample(range(4000), 50)]
+        texts += [" ".join(words[:n]) for n in (40, 44, 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = line_dedup._classes(docs).withColumn("open", F.lit(True))
+    middle = line_dedup._middle(classes)
+    assert 40 < middle <= 60
+    for border in (middle, 44, 45):
+        rounds = [[tuple(sorted(r)) for r in line_dedup._rest(classes, *sizes).collect()] for sizes in ((1, border), (border, 1 << 40))]
+        found = [pair for pairs in rounds for pair in pairs]
+        assert len(found) == len(set(found))
+        sets = [set(t.split()) for t in texts]
+        ids = [signed(t) for t in texts]
+        similar = {tuple(sorted((ids[i], ids[j]))) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+        assert len(similar) >= 90 and similar <= set(found)
+
+
+def test_a_text_is_joined_with_its_kept_lines_once(spark):
+    """The shuffle to the kept lines holds the row, which has the text, and no second copy of it."""
+    plan = line_dedup.dedup_lines(spark.createDataFrame([(1, "a b\na b")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert plan.left().output().size() == 3  # row, doc, tag
