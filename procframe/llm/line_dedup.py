@@ -36,7 +36,7 @@ CELLS = 1 << 16
 #: Ranks to a doubling of a cell's count.
 STEPS = 16
 #: Words from which a set has a parity map of 128 bits instead of 64.
-LONG = 64
+LONG = 96
 #: Words of a class by which hot groups are found, classes that make one, and earliest classes that each then meets.
 FEW, HOT, PARTS = 3, 512, 8
 #: The id that stands for null.
@@ -74,10 +74,16 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.where(_worded(F.col("line"))).select("*", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
 
 
+def _words(docs: DataFrame) -> DataFrame:
+    """(w): every word of every text."""
+    # exploded from an array of one, as `_split` looks at its argument several times
+    flat = docs.select(F.explode(F.array(F.replace(_text(), F.lit("\n"), F.lit(" ")))).alias("flat"))
+    return flat.select(F.explode(_split(F.col("flat"))).alias("w")).where("w <> ''")
+
+
 def _ranks(docs: DataFrame) -> list[int]:
     """For each cell of words its place in the order of counts: STEPS to a doubling, so that a table in the plan stays short."""
-    words = docs.select(F.explode(_split(F.replace(_text(), F.lit("\n"), F.lit(" ")))).alias("w")).where("w <> ''")
-    cells = words.groupBy(F.xxhash64("w").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    cells = _words(docs).groupBy(F.xxhash64("w").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     found = cells.toArrow()  # CELLS rows at most, whatever the corpus
     ranks = [0] * CELLS
     for cell, n in zip(found["cell"].to_pylist(), found["n"].to_pylist(), strict=True):
@@ -130,7 +136,7 @@ def _near(a: str, b: str, an: str, bn: str) -> str:
 
 def _hot_round(classes: DataFrame) -> DataFrame | None:
     """(x, y): under words that over HOT classes pick, each class y with the earliest classes x, past the filters."""
-    picked = F.explode(F.slice(F.sort_array(F.transform("prefix", lambda w: F.hash(w))), 1, FEW)).alias("key")  # similar sets mostly choose alike
+    picked = F.explode(F.slice(F.sort_array("prefix"), 1, FEW)).alias("key")  # hashes, so that similar sets mostly choose alike
     hot = materialise(classes.select(picked).groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > HOT).select("key"), "hot")
     held = hot.count()
     if not held:

@@ -128,3 +128,10 @@ def test_a_text_is_joined_with_its_kept_lines_once(spark):
     while plan.nodeName() != "Join":
         plan = plan.children().head()
     assert plan.left().output().size() == 3  # row, doc, tag
+
+
+def test_words_are_taken_from_a_text_made_flat_once(spark):
+    docs = spark.createDataFrame([(1, "a b\nc\td\x0b \r\n")], "doc_id long, text string")
+    words = line_dedup._words(docs)
+    assert sorted(r.w for r in words.collect()) == ["a", "b", "c", "d"]
+    assert words._jdf.queryExecution().optimizedPlan().toString().count("replace(") == 1
